@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkact.llm import bpe_packing, fingerprints, media, sentencepiece_viterbi, url_cascade
+from sparkact.llm import bpe_packing, fingerprints, media, sentencepiece_viterbi, suffix_dedup, url_cascade
 from sparkact.llm.common import only, table
 
 
@@ -23,6 +23,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.round_trips(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -39,7 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_sentencepiece, op7_mpeg_audio, op8_canonical_digest, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op7_mpeg_audio, op8_canonical_digest, op9_packing)}
 
 ORACLE = {
     "op3_url_filter": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkact.llm import bpe_packing, fingerprints, media, sentencepiece_viterbi, suffix_dedup, url_cascade
+from sparkact.llm import bpe_packing, fingerprints, media, ngram_join, sentencepiece_viterbi, suffix_dedup, url_cascade
 from sparkact.llm.common import only, table
 
 
@@ -43,7 +43,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op7_mpeg_audio, op8_canonical_digest, op9_packing)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op7_mpeg_audio, op8_canonical_digest, op9_packing, op10_ngram_jaccard)}
 
 ORACLE = {
     "op3_url_filter": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkact.llm import bpe_packing, fingerprints, media, ngram_join, sentencepiece_viterbi, suffix_dedup, url_cascade
+from sparkact.llm import bpe_packing, fingerprints, line_join, media, ngram_join, sentencepiece_viterbi, suffix_dedup, url_cascade
 from sparkact.llm.common import only, table
 
 
@@ -31,6 +31,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.round_trips(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
@@ -47,9 +51,27 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op7_mpeg_audio, op8_canonical_digest, op9_packing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op6_line_dedup, op7_mpeg_audio, op8_canonical_digest, op9_packing, op10_ngram_jaccard)}
 
 ORACLE = {
+    "op6_line_dedup": """
+        WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM parts, unnest(range(1, len(ls) + 1)) AS u(i)),
+        firsts AS (
+            SELECT line, length(line) AS size, min({'d': doc_id, 'p': pos}) AS id
+            FROM lines WHERE length(line) >= 32 GROUP BY line),
+        near AS (
+            SELECT DISTINCT b.id FROM firsts a JOIN firsts b
+                ON b.size - a.size BETWEEN -1 AND 1 AND a.id < b.id
+                AND (left(a.line, 12) = left(b.line, 12) OR right(a.line, 12) = right(b.line, 12))
+            WHERE levenshtein(a.line, b.line) <= 1),
+        marked AS (
+            SELECT l.doc_id, l.pos, l.line, length(l.line) < 32 AS short, f.id IS NOT NULL AND n.id IS NULL AS is_first, n.id IS NOT NULL AS is_near
+            FROM lines l LEFT JOIN firsts f ON f.id = {'d': l.doc_id, 'p': l.pos} LEFT JOIN near n ON n.id = f.id)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT (short OR is_first)) AS n_removed, count(*) FILTER (is_near) AS n_near,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (short OR is_first), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
     "op3_url_filter": """
         WITH cut AS (
             SELECT page_id, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkact.llm import bpe_packing, fingerprints, line_join, media, ngram_join, sentencepiece_viterbi, suffix_dedup, url_cascade
+from sparkact.llm import bpe_packing, fingerprints, html_blocks, line_join, media, ngram_join, sentencepiece_viterbi, suffix_dedup, toxicity, url_cascade
 from sparkact.llm.common import only, table
 
 
@@ -15,6 +15,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -51,7 +60,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op6_line_dedup, op7_mpeg_audio, op8_canonical_digest, op9_packing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_sentencepiece, op6_line_dedup, op7_mpeg_audio, op8_canonical_digest, op9_packing, op10_ngram_jaccard)}
 
 ORACLE = {
     "op6_line_dedup": """

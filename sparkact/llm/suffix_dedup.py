@@ -20,12 +20,11 @@ without a doc_id are kept whole and remove nothing; rows of one doc_id are copie
 document, which don't remove one another's bytes.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -272,6 +271,9 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts (and what is then left of a
     character that was cut); all other columns as they are."""
-    cut = F.pandas_udf(lambda t, s: t.combine(s, lambda a, b: kept(a, list(b))[0].decode("utf-8", "ignore")), "string")
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else kept(t, list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+
     joined = docs.join(repeated(docs, length).withColumnRenamed("spans", "_spans"), "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).select(*docs.columns)
+    return joined.withColumn("text", cut("text", "_spans")).select(*docs.columns)

@@ -6,6 +6,8 @@ session names in ``spark.checkpoint.dir`` (an own folder only where that is unse
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -32,11 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of frames that are no longer referenced: they go once
+    the driver has collected its garbage, and what only finalizers held goes a round later."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,8 +5,8 @@ one space. Its fingerprint is the 128-bit xxhash of the result. Texts of equal h
 compared byte for byte: each bucket's smallest doc_id is the representative, and a text that
 differs from it (a collision) gets a fingerprint of its own, by as many rounds as there are
 different texts in a bucket. Buckets of one text need no comparison; a bucket's
-representative is copied to several salts, so that a bucket with a third of all rows is
-compared in many tasks.
+representative is copied once for every PART rows, so that a bucket with a third of all rows
+is compared in many tasks.
 
 Defined results: null texts count as empty; the empty text has a fingerprint like any other.
 Rows of equal doc_id are ordered by text; null doc_ids come last.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkact.llm.common import broadcast_if_small, release, shuffle_partitions, written
 from sparkact.llm.media import batched
 
-SALTS = 32
+PART = 512  # rows of a bucket that are compared in one task
 
 
 def canonical(text: str | None) -> bytes:
@@ -110,7 +110,7 @@ def told_apart(digests: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, class) of documents whose text differs from the representative of
     its bucket: classes 1, 2, ... of a colliding hash. No rows as long as no hash collides."""
     buckets = digests.where("doc_id is not null").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1")
-    members = digests.join(buckets, "fingerprint").select("doc_id", "fingerprint", "rep")
+    members = digests.join(buckets, "fingerprint").select("doc_id", "fingerprint", "rep", F.ceil(F.col("n") / PART).alias("parts"))
     members = written(members, "buckets")
     ids = members.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, members.count()), "doc_id", "left_semi")
@@ -119,13 +119,13 @@ def told_apart(digests: DataFrame, docs: DataFrame) -> DataFrame:
     out, number = None, 0
     while True:
         number += 1
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-        reps = own.where("doc_id = rep").groupBy("fingerprint").agg(F.min("canon").alias("shown")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        apart = own.withColumn("salt", salt).join(reps.withColumn("salt", F.col("salt").cast("long")), ["fingerprint", "salt"]).where("canon <> shown").drop("salt", "shown", "rep")
+        salt = F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("salt")
+        reps = own.where("doc_id = rep").groupBy("fingerprint", "parts").agg(F.min("canon").alias("shown")).select("fingerprint", "shown", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        apart = own.withColumn("salt", salt).join(reps, ["fingerprint", "salt"]).where("canon <> shown").drop("salt", "shown", "rep", "parts")
         apart = written(apart, "apart")
         if apart.isEmpty():
             return out
-        apart = apart.join(apart.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "fingerprint")
+        apart = apart.join(apart.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.ceil(F.count("*") / PART).alias("parts")), "fingerprint")
         told = apart.select("doc_id", "fingerprint", F.lit(number).alias("class"))
         out = told if out is None else out.join(told, "doc_id", "left_anti").unionByName(told)
         own = apart

@@ -5,14 +5,18 @@ Two documents link if 100 * |x & y| >= percent * |x | y| for their sets of disti
 1. Inverted lists, by hash range: of the shingles in a quarter of the hash space, which stand
    in more than one document? A document that links has at most |x| * (100 - percent) / 100
    shingles that the other lacks, so one with more that stand nowhere else has no partner.
-   Documents of equal sets form one class; its smallest doc_id stands for it from here on.
+   Documents of equal sets form one class; its smallest doc_id stands for it from here on, and
+   the same question is put again for the whole hash space, among these only.
 2. T-occurrence search inside blocks of documents that share a shingle: a query's short lists
    are merged and counted, its longest are set aside and probed by binary search for the
    candidates that can still reach the overlap (DivideSkip). Blocks of any size are split;
    each part keeps the block's representative.
 3. Whatever links lie across blocks: prefixes in order of list length (short lists first);
    lists whose documents are all in one component already need no search, and of the rest only
-   pairs of different components are probed. Together this loses no link.
+   pairs of different components are probed whose shingles behind the shared one suffice for
+   the overlap, and whose parities differ in few enough places: a set's parities are those of
+   the numbers of its shingles in PARITIES hash classes, and each place in which two sets
+   differ is a shingle that only one of them has. Together this loses no link.
 
 Defined results: a text without words (or null) has the empty set and is linked with nothing;
 with fewer words than a shingle has, the whole sequence is its one shingle. Rows of one doc_id
@@ -74,25 +78,33 @@ def shingle_sets(texts: list[bytes], words: int, powers: Powers) -> tuple[np.nda
 
 
 META = ["<i8", "<u4", "<u4", "<i8", "<i8"]
-SEEN = "doc_id long, n long, nq long, h1 long, h2 long, shared long"
+SEEN = "doc_id long, n long, nq long, h1 long, h2 long, shared long, late long"
 SEEN_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in SEEN.split(", ")])
 
 
+def lists(keys: list[np.ndarray], docs: list[np.ndarray], buckets: int):
+    """Kind 0: (shingle, document, credited); kind 2: (document, how many of its shingles, and of
+    these how many behind the first quarter, this task saw in another document too)."""
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    head = first_of_runs(key)
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, len(key)))
+    common = np.repeat(sizes > 1, sizes)
+    who, n, late = credits(key[common], doc[common])
+    yield from rows_of(2, mix64(who.astype(np.uint64)), [who, n.astype("<u4"), late.astype("<u4")], buckets)
+    yield from rows_of(0, key[head], [key[head], doc[head], (sizes > 1).astype("<u1")], buckets)
+
+
+def credits(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, its entries, those behind the first quarter)."""
+    who, at, n = np.unique(doc, return_inverse=True, return_counts=True)
+    return who, n, np.bincount(at, key >= QUARTER, len(who)).astype(np.int64)
+
+
 def map_lists(words: int):
-    """Kind 0: (shingle, document, credited); kind 1: facts of a document; kind 2: (document,
-    how many of its shingles this task saw in another document too)."""
-
-    def flush(keys, docs, buckets):
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        head = first_of_runs(key)
-        starts = np.flatnonzero(head)
-        sizes = np.diff(np.append(starts, len(key)))
-        common = np.repeat(sizes > 1, sizes)
-        who, n = np.unique(doc[common], return_counts=True)
-        yield from rows_of(2, mix64(who.astype(np.uint64)), [who, n.astype("<u4")], buckets)
-        yield from rows_of(0, key[head], [key[head], doc[head], (sizes > 1).astype("<u1")], buckets)
+    """Lists of the first quarter of the hash space; kind 1: facts of a document."""
 
     def task(batches, buckets):
         powers, keys, docs, n = Powers(), [], [], 0
@@ -109,14 +121,29 @@ def map_lists(words: int):
             docs.append(ids[who[low]])
             n += len(keys[-1])
             if n >= FLUSH:
-                yield from flush(keys, docs, buckets)
+                yield from lists(keys, docs, buckets)
                 keys, docs, n = [], [], 0
         if n:
-            yield from flush(keys, docs, buckets)
+            yield from lists(keys, docs, buckets)
 
     return task
 
 
+def map_whole_lists(batches, buckets):
+    """Lists of the whole hash space, of rows (doc_id, shingles)."""
+    keys, docs, n = [], [], 0
+    for batch in batches:
+        for doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys.append(np.frombuffer(raw, "<u8"))
+            docs.append(np.full(len(keys[-1]), doc))
+            n += len(keys[-1])
+            if n >= FLUSH:
+                yield from lists(keys, docs, buckets)
+                keys, docs, n = [], [], 0
+    if n:
+        yield from lists(keys, docs, buckets)
+
+
 def seen(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     n = len(columns["doc_id"])
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name].astype(np.int64)) if f.name in columns else pa.nulls(n, pa.int64()) for f in SEEN_SCHEMA], schema=SEEN_SCHEMA)
@@ -127,15 +154,16 @@ def reduce_lists(held):
         yield seen(dict(zip(("doc_id", "n", "nq", "h1", "h2"), all_of(held[1], META), strict=True)))
     credit = []
     if 2 in held:
-        credit.append(tuple(all_of(held[2], ["<i8", "<u4"])))
+        credit.append(tuple(all_of(held[2], ["<i8", "<u4", "<u4"])))
     if 0 in held:
         key, doc, credited = all_of(held[0], ["<u8", "<i8", "<u1"])
         order = np.argsort(key, kind="stable")
         key, doc, credited = key[order], doc[order], credited[order]
         sizes = np.diff(np.append(np.flatnonzero(first_of_runs(key)), len(key)))
-        credit.append(np.unique(doc[np.repeat(sizes > 1, sizes) & (credited == 0)], return_counts=True))
+        found = np.repeat(sizes > 1, sizes) & (credited == 0)
+        credit.append(credits(key[found], doc[found]))
     if credit:
-        yield seen({"doc_id": np.concatenate([c[0] for c in credit]), "shared": np.concatenate([c[1] for c in credit])})
+        yield seen(dict(zip(("doc_id", "shared", "late"), map(np.concatenate, zip(*credit, strict=True)), strict=True)))
 
 
 SETS = "doc_id long, n long, shingles binary"
@@ -272,26 +300,43 @@ def probed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(task, PAIR)
 
 
-TOKENS = "doc_id long, n long, nq long, late int, token long"
+PARITIES = 512
+WORDS = PARITIES // 64
+
+
+def parities_of(sets: DataFrame) -> DataFrame:
+    """doc_id and the set's parities as p0, p1, ... of 64 bits."""
+    schema = pa.schema([("doc_id", pa.int64()), *((f"p{i}", pa.int64()) for i in range(WORDS))])
+
+    def task(batches):
+        for batch in batches:
+            odd = [np.packbits(np.bincount((np.frombuffer(raw, "<u8") % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1) for raw in batch.column(1).to_pylist()]
+            words = np.array(odd, np.uint8).reshape(-1, PARITIES // 8).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], schema=schema)
+
+    return sets.select("doc_id", "shingles").mapInArrow(task, ", ".join(f"{f.name} long" for f in schema))
+
+
+TOKENS = "doc_id long, n long, nq long, late_common long, late int, token long"
 
 
 def tokens_of(sets: DataFrame, percent: int) -> DataFrame:
     """The shingles that order a document's prefix: those of the quarter first; all, if these
     are fewer than the prefix has."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("nq", pa.int64()), ("late", pa.int32()), ("token", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("nq", pa.int64()), ("late_common", pa.int64()), ("late", pa.int32()), ("token", pa.int64())])
 
     def task(batches):
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts: list[list[np.ndarray]] = [[] for _ in schema]
+            for doc, n, common, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = np.frombuffer(raw, "<u8")
                 q = int(np.searchsorted(h, QUARTER))
                 own = h[:q] if q > n * (100 - percent) // 100 else h
-                for p, v in zip(parts, (np.full(len(own), doc), np.full(len(own), n), np.full(len(own), q), (own >= QUARTER).astype(np.int32), own.view("<i8")), strict=True):
+                for p, v in zip(parts, (np.full(len(own), doc), np.full(len(own), n), np.full(len(own), q), np.full(len(own), common), (own >= QUARTER).astype(np.int32), own.view("<i8")), strict=True):
                     p.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), f.type) for p, f in zip(parts, schema, strict=True)], schema=schema)
 
-    return sets.select("doc_id", "n", "shingles").mapInArrow(task, TOKENS)
+    return sets.select("doc_id", "n", "late_common", "shingles").mapInArrow(task, TOKENS)
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1500) -> DataFrame:
@@ -308,33 +353,46 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
     sets = written(sets_of(named.join(broadcast_if_small(reps, classes.count()), "doc_id", "left_semi"), words), "sets")
     release(spark)
 
+    whole = exchanged(sets.select("doc_id", "shingles"), map_whole_lists, reduce_lists, SEEN)
+    common = written(whole.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.sum("late").alias("late")), "common")
+    release(spark)
+    partner = written(sets.join(common, "doc_id").where(F.col("n") - F.col("shared") <= missing).drop("shared").withColumnRenamed("late", "late_common"), "partners")
+
     # Shingles that stand in one set only are the first of any prefix and lead nowhere.
-    tokens = written(tokens_of(sets, percent), "tokens")
+    tokens = written(tokens_of(partner, percent), "tokens")
     lengths = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(lengths, "token")
-    per_doc = shared.groupBy("doc_id", "n", "nq").agg(F.sort_array(F.collect_list(F.struct("late", "df", "token"))).alias("order"))
-    prefix = F.floor(F.col("n") * F.lit(100 - percent) / 100) + 1
-    early = F.filter("order", lambda t: t["late"] == 0)
-    late = F.filter("order", lambda t: t["late"] == 1)
-    early_left = prefix - (F.col("nq") - F.size(early))  # the quarter's lonely shingles come first
-    late_left = F.when(F.col("nq") < prefix, prefix - F.col("nq") - (F.col("n") - F.col("nq") - F.size(late))).otherwise(F.lit(0))
-    taken = F.concat(F.slice(early, F.lit(1), F.greatest(early_left, F.lit(0)).cast("int")), F.slice(late, F.lit(1), F.greatest(late_left, F.lit(0)).cast("int")))
-    prefixes = written(per_doc.withColumn("prefix", F.transform(taken, lambda t: t["token"])).where(F.size("prefix") > 0).select("doc_id", "n", "prefix", F.transform("order", lambda t: t["token"]).alias("all")).select("doc_id", "n", "prefix", F.array_min("all").alias("low"), F.array_max("all").alias("high")), "prefixes")
+    order = F.sort_array(F.collect_list(F.struct("late", "df", "token")))
+    per_doc = shared.groupBy("doc_id", "n", "nq", "late_common").agg(order.alias("order"), F.sum("late").alias("late_shared"))
+    early = F.size("order") - F.col("late_shared")
+    lonely = F.col("nq") - early + F.col("n") - F.col("nq") - F.when(F.col("nq") <= missing, F.col("late_shared")).otherwise(F.col("late_common"))
+    token = F.transform("order", lambda t: t["token"])
+    prefixes = written(
+        per_doc.withColumn("lonely", lonely).withColumn("all", token).withColumn("prefix", F.slice("all", F.lit(1), F.greatest(missing + 1 - F.col("lonely"), F.lit(0)).cast("int")))
+        .where(F.size("prefix") > 0).select("doc_id", "n", "lonely", "prefix", F.array_min("all").alias("low"), F.array_max("all").alias("high")), "prefixes",
+    )
 
     links = None
     for block in ("low", "high"):
-        found = searched(prefixes.select(F.col(block).alias("block"), "doc_id").join(sets.select("doc_id", "shingles"), "doc_id"), percent, most)
+        found = searched(prefixes.select(F.col(block).alias("block"), "doc_id").join(partner.select("doc_id", "shingles"), "doc_id"), percent, most)
         links = found if links is None else links.unionByName(found)
     links = written(links, "links")
     label = written(stars(links), "labels")
 
-    rows = prefixes.select("doc_id", "n", F.explode("prefix").alias("token")).join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    # Where a pair's first common shingle stands, all before it is missing from the other set.
+    rows = prefixes.select("doc_id", "n", "lonely", F.posexplode("prefix").alias("at", "token")).withColumn("left", F.col("n") - F.col("lonely") - F.col("at")).drop("lonely", "at").join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     mixed = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("token")
     open_ = written(rows.join(mixed, "token"), "open")
-    a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "label")]) for s in "ab")
-    near = (F.col("label_a") < F.col("label_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    odd = parities_of(partner.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"))
+    open_ = written(open_.join(odd, "doc_id"), "open-parities")
+    words_ = [f"p{i}" for i in range(WORDS)]
+    a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "left", "label", *words_)]) for s in "ab")
+    most_shared = F.least("left_a", "left_b")
+    differing = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in words_)
+    enough = lambda shared: shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent
+    near = (F.col("label_a") < F.col("label_b")) & enough(most_shared) & enough(F.floor((F.col("n_a") + F.col("n_b") - differing) / 2))
     candidates = written(a.join(b, "token").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "candidates")
-    across = written(probed(candidates, sets, percent), "across")
+    across = written(probed(candidates, partner, percent), "across")
     if not across.isEmpty():
         label = written(stars(links.unionByName(across)), "labels")
 

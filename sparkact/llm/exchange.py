@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkact.llm.common import shuffle_partitions
 
 PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+PACKED_DDL = "bucket int, kind int, payload binary"
 SUB_BUCKETS = 4  # a reduce task holds one of these at a time
 
 
@@ -60,8 +61,13 @@ def record_batches(rows: Iterator[tuple[int, int, bytes]], size: int = 512) -> I
 def exchanged(df: DataFrame, map_task: Callable, reduce_bucket: Callable, ddl: str) -> DataFrame:
     """``map_task(batches, buckets)`` yields (bucket, kind, payload); ``reduce_bucket(payloads by
     kind)`` gets all of a bucket's and yields Arrow batches of the schema ``ddl``."""
-    n = shuffle_partitions(df.sparkSession)
-    buckets = n * SUB_BUCKETS
+    buckets = shuffle_partitions(df.sparkSession) * SUB_BUCKETS
+    return reduced(df.mapInArrow(lambda it: record_batches(map_task(it, buckets)), PACKED_DDL), reduce_bucket, ddl)
+
+
+def reduced(sent: DataFrame, reduce_bucket: Callable, ddl: str) -> DataFrame:
+    """The second half of :func:`exchanged`, for packed rows; also for what a first one yields."""
+    n = shuffle_partitions(sent.sparkSession)
 
     def reduce_task(batches):
         current, held = None, {}
@@ -76,7 +82,6 @@ def exchanged(df: DataFrame, map_task: Callable, reduce_bucket: Callable, ddl: s
         if held:
             yield from reduce_bucket(held)
 
-    sent = df.mapInArrow(lambda it: record_batches(map_task(it, buckets)), "bucket int, kind int, payload binary")
     return sent.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket").mapInArrow(reduce_task, ddl)
 
 

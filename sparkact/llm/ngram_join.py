@@ -25,6 +25,8 @@ are copies of one document. Rows without a doc_id have no component.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sparkact.llm.common import broadcast_if_small, mix64, release, shuffle_partitions, written
 from sparkact.llm.components import stars
-from sparkact.llm.exchange import all_of, exchanged, first_of_runs, rows_of
+from sparkact.llm.exchange import PACKED_DDL, all_of, exchanged, first_of_runs, record_batches, reduced, rows_of
 from sparkact.llm.suffix_dedup import BASE2, Powers, chunks
 
 SPACE = np.zeros(256, bool)
@@ -78,6 +80,7 @@ def shingle_sets(texts: list[bytes], words: int, powers: Powers) -> tuple[np.nda
 
 
 META = ["<i8", "<u4", "<u4", "<i8", "<i8"]
+CREDIT = ["<i8", "<u4", "<u4"]
 SEEN = "doc_id long, n long, nq long, h1 long, h2 long, shared long, late long"
 SEEN_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in SEEN.split(", ")])
 
@@ -92,11 +95,14 @@ def lists(keys: list[np.ndarray], docs: list[np.ndarray], buckets: int):
     starts = np.flatnonzero(head)
     sizes = np.diff(np.append(starts, len(key)))
     common = np.repeat(sizes > 1, sizes)
-    who, n, late = credits(key[common], doc[common])
-    yield from rows_of(2, mix64(who.astype(np.uint64)), [who, n.astype("<u4"), late.astype("<u4")], buckets)
+    yield from credit_rows(*credits(key[common], doc[common]), buckets)
     yield from rows_of(0, key[head], [key[head], doc[head], (sizes > 1).astype("<u1")], buckets)
 
 
+def credit_rows(who: np.ndarray, n: np.ndarray, late: np.ndarray, buckets: int):
+    return rows_of(2, mix64(who.astype(np.uint64)), [who, n.astype("<u4"), late.astype("<u4")], buckets)
+
+
 def credits(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, its entries, those behind the first quarter)."""
     who, at, n = np.unique(doc, return_inverse=True, return_counts=True)
@@ -144,26 +150,43 @@ def map_whole_lists(batches, buckets):
         yield from lists(keys, docs, buckets)
 
 
-def seen(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    n = len(columns["doc_id"])
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name].astype(np.int64)) if f.name in columns else pa.nulls(n, pa.int64()) for f in SEEN_SCHEMA], schema=SEEN_SCHEMA)
+def reduce_lists(buckets: int):
+    """Facts and credits, packed by document for :func:`reduce_credits`."""
+
+    def task(held):
+        rows = []
+        if 1 in held:
+            meta = all_of(held[1], META)
+            rows.append(rows_of(1, mix64(meta[0].astype(np.uint64)), meta, buckets))
+        if 2 in held:
+            rows.append(credit_rows(*all_of(held[2], CREDIT), buckets))
+        if 0 in held:
+            key, doc, credited = all_of(held[0], ["<u8", "<i8", "<u1"])
+            order = np.argsort(key, kind="stable")
+            key, doc, credited = key[order], doc[order], credited[order]
+            sizes = np.diff(np.append(np.flatnonzero(first_of_runs(key)), len(key)))
+            found = np.repeat(sizes > 1, sizes) & (credited == 0)
+            rows.append(credit_rows(*credits(key[found], doc[found]), buckets))
+        yield from record_batches(chain.from_iterable(rows))
+
+    return task
+
 
+def reduce_credits(held):
+    """A row for each document: its facts, if they were sent, and the sums of its credits."""
+    who, n, late = all_of(held[2], CREDIT) if 2 in held else (np.zeros(0, "<i8"), np.zeros(0, "<u4"), np.zeros(0, "<u4"))
+    meta = all_of(held[1], META) if 1 in held else [who]
+    ids, first = np.unique(meta[0], return_index=True)
+    at = np.searchsorted(ids, who)
+    sums = [np.bincount(at, x, len(ids)).astype(np.int64) for x in (n, late)]
+    facts = [pa.array(m[first].astype(np.int64)) for m in meta[1:]] or [pa.nulls(len(ids), pa.int64())] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(ids), *facts, *map(pa.array, sums)], schema=SEEN_SCHEMA)
 
-def reduce_lists(held):
-    if 1 in held:
-        yield seen(dict(zip(("doc_id", "n", "nq", "h1", "h2"), all_of(held[1], META), strict=True)))
-    credit = []
-    if 2 in held:
-        credit.append(tuple(all_of(held[2], ["<i8", "<u4", "<u4"])))
-    if 0 in held:
-        key, doc, credited = all_of(held[0], ["<u8", "<i8", "<u1"])
-        order = np.argsort(key, kind="stable")
-        key, doc, credited = key[order], doc[order], credited[order]
-        sizes = np.diff(np.append(np.flatnonzero(first_of_runs(key)), len(key)))
-        found = np.repeat(sizes > 1, sizes) & (credited == 0)
-        credit.append(credits(key[found], doc[found]))
-    if credit:
-        yield seen(dict(zip(("doc_id", "shared", "late"), map(np.concatenate, zip(*credit, strict=True)), strict=True)))
+
+def listed(df: DataFrame, map_task) -> DataFrame:
+    """Both exchanges: by shingle, then by document; see SEEN."""
+    n = shuffle_partitions(df.sparkSession)
+    return reduced(exchanged(df, map_task, reduce_lists(n), PACKED_DDL), reduce_credits, SEEN)
 
 
 SETS = "doc_id long, n long, shingles binary"
@@ -343,18 +366,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
     """(doc_id, n_shingles, component_id) of every document with a doc_id."""
     spark = docs.sparkSession
     named = docs.select("doc_id", "text").where("doc_id is not null")
-    lists = written(exchanged(named, map_lists(words), reduce_lists, SEEN), "lists")
-    release(spark)
-    facts = lists.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n", "nq", "h1", "h2")], F.sum("shared").alias("shared"))
     missing = F.floor(F.col("n") * F.lit(100 - percent) / 100)
-    facts = written(facts.withColumn("able", (F.col("n") > 0) & (F.col("nq") - F.coalesce("shared", F.lit(0)) <= missing)).select("doc_id", "n", "h1", "h2", "able"), "facts")
+    able = (F.col("n") > 0) & (F.col("nq") - F.col("shared") <= missing)
+    facts = written(listed(named, map_lists(words)).select("doc_id", "n", "h1", "h2", able.alias("able")), "facts")
     classes = written(facts.where("able").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
     sets = written(sets_of(named.join(broadcast_if_small(reps, classes.count()), "doc_id", "left_semi"), words), "sets")
     release(spark)
 
-    whole = exchanged(sets.select("doc_id", "shingles"), map_whole_lists, reduce_lists, SEEN)
-    common = written(whole.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.sum("late").alias("late")), "common")
+    common = written(listed(sets.select("doc_id", "shingles"), map_whole_lists).select("doc_id", "shared", "late"), "common")
     release(spark)
     partner = written(sets.join(common, "doc_id").where(F.col("n") - F.col("shared") <= missing).drop("shared").withColumnRenamed("late", "late_common"), "partners")
 

@@ -75,24 +75,41 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
+class Features:
+    """Numbers of feature names; a bag of words becomes an array of them."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def of(self, words: set[str]) -> np.ndarray:
+        number = self.number
+        return np.array([number.setdefault(f, len(number)) for f in features(words)], np.int32)
+
+
 def fit(texts: list[str | None], labels: list[int], least: int = 3, most: int = 3_000, swap_penalty: float = 4.0, ridge: float = 1e-5, rounds: int = 250, rate: float = 0.1) -> Model:
     """Full-batch Adam; features in fewer than ``least`` sample texts are left out, and the
-    ``most`` that tell the labels apart best are kept."""
+    ``most`` that tell the labels apart best are kept. A text's words are held only while they
+    are numbered."""
     if not texts:
         return Model({}, 0.0)
-    bags = [words_of(t) for t in texts]
+    known, sides = Features(), ([], [], [])
+    known.of(set(TERMS))
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        for side, bag in zip(sides, (words, *swapped(words, i)), strict=True):
+            side.append(known.of(bag))
     y = np.array(labels, float)
-    count: dict[str, list[int]] = {}
-    for bag, label in zip(bags, labels, strict=True):
-        for f in features(bag):
-            count.setdefault(f, [0, 0])[label] += 1
     share = (y.sum() + 1) / (len(y) + 2)
-    gain = {f: abs(np.log((c[1] + 0.5 * share) / (c[0] + c[1] + 0.5) / share)) * np.sqrt(sum(c)) for f, c in count.items() if sum(c) >= least}
-    names = sorted(sorted(gain, key=lambda f: (-gain[f], f))[:most]) + TERMS
-    index = {f: i for i, f in enumerate(dict.fromkeys(names))}
-    pairs = [swapped(b, i) for i, b in enumerate(bags)]
-    rows, left, right = (csr([features(b) for b in side], index) for side in (bags, [p[0] for p in pairs], [p[1] for p in pairs]))
-    w = np.zeros(len(index) + 1)
+    every, size = np.concatenate(sides[0]), len(known.number)
+    total = np.bincount(every, minlength=size)
+    toxic = np.bincount(every, np.repeat(y, [len(b) for b in sides[0]]), size)
+    gain = np.abs(np.log((toxic + 0.5 * share) / (total + 0.5) / share)) * np.sqrt(total)
+    names = {f: n for f, n in known.number.items() if total[n] >= least}
+    chosen = dict.fromkeys([*sorted(sorted(names, key=lambda f: (-gain[names[f]], f))[:most]), *TERMS])
+    column = np.full(size, -1, np.int64)
+    column[[known.number[f] for f in chosen]] = np.arange(len(chosen))
+    rows, left, right = (csr(side, column) for side in sides)
+    w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(share / (1 - share))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -106,17 +123,18 @@ def fit(texts: list[str | None], labels: list[int], least: int = 3, most: int =
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(w[-1]))
+    return Model({f: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) > 1e-4}, float(w[-1]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def csr(bags: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(row, column, rows) of the features that are in ``index``."""
-    cols = [sorted(index[f] for f in b if f in index) for b in bags]
-    return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([c for x in cols for c in x], np.int64), len(cols)
+def csr(bags: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, column, rows) of the features that have a column."""
+    cols = column[np.concatenate(bags)]
+    row = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    return row[cols >= 0], cols[cols >= 0], len(bags)
 
 
 def times(x, w: np.ndarray) -> np.ndarray:

@@ -8,9 +8,10 @@ Equal lines are one row from the first grouping on, under the place where they s
 Each such line is split into ``edits + 1`` segments, one of which any line within reach holds
 unchanged: segments are indexed by (length, number, hash), and every line probes the indexes
 of its own and the slightly smaller lengths with the substrings at the few positions where a
-segment can have moved to (the multi-match-aware choice). Pairs that meet are verified by a
-banded bit-parallel edit distance: the 2 * edits + 1 cells around the diagonal are bits of one
-integer, advanced a column at a time.
+segment can have moved to (the multi-match-aware choice). Of the pairs that meet, those are
+left that share all but ``edits`` of a finer split too, and are verified by a banded
+bit-parallel edit distance: the 2 * edits + 1 cells around the diagonal are bits of one integer,
+advanced a column at a time.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line. Rows
 without a doc_id are left alone; rows of one doc_id are copies of one document. A document of
@@ -100,6 +101,19 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
     return let(F.split(x, ""), lambda a: let(F.split(y, ""), lambda b: run(a, b)))
 
 
+def shares_enough(x: Column, y: Column, edits: int) -> Column:
+    """Whether ``y`` holds all but ``edits`` of the segments of a finer split of ``x``, each moved
+    by ``edits`` places at most. True of any two lines within reach, as an edit breaks one segment."""
+    parts, found = 4 * (edits + 1), F.lit(0)
+    for i in range(parts):
+        start, size = segment(F.length(x), i, parts - 1)
+        own, same = F.substring(x, start + 1, size), F.lit(False)
+        for shift in (0, *range(-edits, 0), *range(1, edits + 1)):
+            same = same | ((start + shift >= 0) & (F.substring(y, start + shift + 1, size) == own))
+        found = found + F.when(same, 1).otherwise(0)
+    return found >= parts - edits
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
@@ -121,7 +135,8 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     y = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
     with_x = written(x.join(few, "a"), "line-texts")
     both = y.join(broadcast_if_small(with_x, with_x.count(), 50_000), "b")
-    return both.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+    x, y = F.col("x"), F.col("y")
+    return both.where(shares_enough(x, y, edits) & (banded_distance(x, y, edits) <= edits)).select("a", "b")
 
 
 def kept_flags(docs: DataFrame, edits: int, least: int) -> DataFrame:

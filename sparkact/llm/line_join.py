@@ -156,16 +156,16 @@ def kept_flags(docs: DataFrame, edits: int, least: int) -> DataFrame:
 def deduplicated(docs: DataFrame, edits: int = 1, least: int = 32) -> DataFrame:
     """``docs`` with the kept lines as text, and _lines, _removed, _near: how many lines there
     were, how many are gone, and how many of these for a line that differs."""
-    flags = kept_flags(docs, edits, least).withColumnRenamed("doc_id", "_doc")
+    flags = kept_flags(docs, edits, least).select(F.col("doc_id").alias("_doc"), F.col("flags").alias("_flags"))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("flags"), i)["kept"]), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("_flags"), i)["kept"]), "\n")
     joined = docs.join(flags, F.col("doc_id") == F.col("_doc"), "left")
-    gone = F.size(F.filter("flags", lambda f: ~f["kept"]))
-    near = F.size(F.filter("flags", lambda f: f["near"]))
+    gone = F.size(F.filter("_flags", lambda f: ~f["kept"]))
+    near = F.size(F.filter("_flags", lambda f: f["near"]))
     return (
         joined.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("_removed", F.when(F.col("flags").isNull(), 0).otherwise(gone)).withColumn("_near", F.when(F.col("flags").isNull(), 0).otherwise(near))
-        .withColumn("text", F.when(F.col("flags").isNull(), F.col("text")).otherwise(kept)).drop("flags", "_doc")
+        .withColumn("_removed", F.when(F.col("_flags").isNull(), 0).otherwise(gone)).withColumn("_near", F.when(F.col("_flags").isNull(), 0).otherwise(near))
+        .withColumn("text", F.when(F.col("_flags").isNull(), F.col("text")).otherwise(kept)).drop("_flags", "_doc")
     )
 
 

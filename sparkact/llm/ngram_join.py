@@ -384,8 +384,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
     shared = tokens.join(lengths, "token")
     order = F.sort_array(F.collect_list(F.struct("late", "df", "token")))
     per_doc = shared.groupBy("doc_id", "n", "nq", "late_common").agg(order.alias("order"), F.sum("late").alias("late_shared"))
+    # A late shingle of df 1 may stand in a document that emitted its quarter only: it isn't lonely.
     early = F.size("order") - F.col("late_shared")
-    lonely = F.col("nq") - early + F.col("n") - F.col("nq") - F.when(F.col("nq") <= missing, F.col("late_shared")).otherwise(F.col("late_common"))
+    lonely = F.col("nq") - early + F.col("n") - F.col("nq") - F.col("late_common")
     token = F.transform("order", lambda t: t["token"])
     prefixes = written(
         per_doc.withColumn("lonely", lonely).withColumn("all", token).withColumn("prefix", F.slice("all", F.lit(1), F.greatest(missing + 1 - F.col("lonely"), F.lit(0)).cast("int")))

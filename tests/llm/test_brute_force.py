@@ -81,6 +81,26 @@ def test_ngram_components(spark, words, percent, most):
     assert any(find(i) != i for i in sets)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_ngram_isolated_pairs(spark, percent):
+    """Each document has one partner, which lacks or adds some words at its end."""
+    r, rows, linked = random.Random(percent), [], 0
+    for seed in range(800):
+        n = r.randint(8, 200)
+        more = r.randint(1, max(1, n * (100 - percent) // percent))
+        text = [f"w{seed}x{k}" for k in range(n + more)]
+        rows += [(2 * seed, " ".join(text[:n])), (2 * seed + 1, " ".join(text))]
+    expected = {}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        a, b = set(a.split()), set(b.split())
+        near = 100 * len(a & b) >= percent * len(a | b)
+        expected |= {i: i, j: i if near else j}
+        linked += near
+    assert linked > 400
+    got = {x.doc_id: x.component_id for x in ngram_join.components(frame(spark, rows), 1, percent).collect()}
+    assert got == expected
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

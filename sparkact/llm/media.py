@@ -104,7 +104,27 @@ def parse(data: bytes | None) -> dict:
     """What the module's docstring names, of one stream."""
     data = data or b""
     start, tags = id3v2(data)
-    end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
+    whole = scanned(data, start, len(data), tags)
+    if data[-128:-125] != b"TAG" or inside_frames(whole, len(data)):
+        return whole
+    return scanned(data, start, len(data) - 128, tags)
+
+
+def inside_frames(parsed: dict, end: int) -> bool:
+    """Whether the place of an ID3v1 tag lies in the data of frames that follow one another up to
+    the stream's end."""
+    tag = end - 128
+    for o, n in zip(reversed(parsed["offsets"]), reversed(parsed["sizes"]), strict=True):
+        if o + n != end or end <= tag:
+            return False
+        if o < tag:
+            return True
+        end = o
+    return False
+
+
+def scanned(data: bytes, start: int, end: int, tags: dict[str, bytes]) -> dict:
+    """The frames between ``start`` and ``end``."""
     offsets, skipped, wrong, checked, table, samples, hz = [], 0, 0, 0, None, Fraction(0), set()
     at, sizes = start, []
     while at + 4 <= end:

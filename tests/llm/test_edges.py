@@ -67,3 +67,15 @@ def test_pages(spark):
     assert {(1, "a.b", "/c", "b/", "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow")} - judged == {(1, "a.b", "/c", "b/", "allow")} and (1, "a.b", "/c", "a.b/c", "block") in judged
     assert html_blocks.extracted(pages.limit(0)).count() == 0
     assert url_cascade.judged(pages.limit(0), [("block", "a.b/c")]).count() == 0
+
+
+def test_media_with_tag_bytes_in_the_text():
+    for size in (64, 128, 192, 896, 960, 1024, 1856):
+        for at in range(size - 2):
+            payload = bytearray(b"x" * size)
+            payload[at : at + 3] = b"TAG"
+            stored = media.wrap(bytes(payload))
+            parsed = media.parse(stored)
+            assert media.unwrap(stored, parsed) == payload and not parsed["id3v1"]
+    tagged = media.parse(stored + b"TAG" + b"title".ljust(125))
+    assert tagged["id3v1"] and tagged["offsets"] == parsed["offsets"] and not tagged["skipped"]

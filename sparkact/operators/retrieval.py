@@ -46,11 +46,17 @@ def bm25(docs: DataFrame, key: str, terms: list[str], k1: float = 1.2, b: float
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The ``k`` vectors of greatest cosine with each query vector (column ``q``, one row each,
-    few rows); vectors of another length are skipped. Per task only ``k`` rows a query survive."""
-    rows = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(query.withColumn("_one", F.lit(1)).limit(64)), "_one")
-    scored = rows.where(F.size(column) == F.size("q")).select(key, vec.cosine(F.col(column), F.col("q")).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    """(query_id, key, score, rank): for each query vector (columns query_id, q) the ``k`` vectors
+    of greatest cosine, smaller keys first among equals; vectors of another length are skipped.
+    All pairs are scored as they stream by; the limit on the rank leaves ``k`` rows of each query
+    and task before these are grouped by query."""
+    rows = vectors.select(key, F.col(column).alias("_v"), vec.norm(F.col(column)).alias("_n"))
+    asked = query.select("query_id", "q", vec.norm(F.col("q")).alias("_m"))
+    lengths = F.col("_n") * F.col("_m")
+    score = F.when(lengths == 0, F.lit(0.0)).otherwise(vec.dot(F.col("_v"), F.col("q")) / lengths)
+    scored = rows.crossJoin(asked).where(F.size("_v") == F.size("q")).select("query_id", key, score.alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:

@@ -277,7 +277,7 @@ KNN = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec
 
 def knn(spark, d, k=20):
     e = read(spark, d, "embeddings")
-    return ret.nearest(e, e.where("vec_id = 0").select(F.col("embedding").alias("q")), k)
+    return ret.nearest(e, e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
 
 
 @query(f"WITH {KNN} SELECT vec_id, round(score, 6) AS score FROM v ORDER BY v.score DESC, vec_id LIMIT 20")
@@ -285,6 +285,15 @@ def knn_topk(spark, d):
     return knn(spark, d).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(x, x)) AS size FROM e),
+    v AS (SELECT q.vec_id AS query_id, n.vec_id, list_dot_product(n.x, q.x) / (q.size * n.size) AS score FROM n, n q WHERE q.vec_id % 20 = 0)
+    SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY v.score DESC, vec_id) AS rank FROM v QUALIFY rank <= 20""")
+def knn_topk_each(spark, d):
+    e = read(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return longs(ret.nearest(e, asked, 20).withColumn("score", F.round("score", 6)), "rank")
+
+
 @query(f"{BM25}, {KNN}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 30), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM v QUALIFY rank <= 30) SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lists FROM (FROM a UNION ALL FROM b) GROUP BY id")
 def rrf_fuse(spark, d):
     a = ret.ranked(ret.bm25(read(spark, d, "documents"), "doc_id", TERMS), [F.desc("score"), F.asc("doc_id")], 30).withColumnRenamed("doc_id", "id")

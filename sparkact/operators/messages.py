@@ -3,7 +3,9 @@ chunks."""
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,41 +69,59 @@ def gap_chunks(messages: DataFrame, gap_ms: int) -> DataFrame:
 
 
 CHUNKS = "conversation long, chunk_index int, first_ordinal long, last_ordinal long, messages int, bytes int, started_ms long, ended_ms long, content string"
+CHUNKS_SCHEMA = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]) for n, k in (x.split() for x in CHUNKS.split(", "))])
 
 
 def chunks(messages: DataFrame, most_bytes: int = 512, most: int = 40, gap_ms: int = 1_800_000, overlap: int = 2) -> DataFrame:
     """Chunks of each conversation's messages: closed by a time gap, a byte budget or a number of
     messages. After a split by size the next chunk repeats up to ``overlap`` messages that fit.
-    The state depends on order, so each conversation is one group; conversations are bounded by
-    what people write."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group.sort_values(["created_at_ms", "ordinal"])[["ordinal", "created_at_ms", "content"]].itertuples(index=False))
-        size = lambda r: len((r.content or "").encode())
-        out, held, fresh = [], [], 0
-
-        def close() -> None:
-            out.append((group["conversation"].iloc[0], len(out), held[0].ordinal, held[-1].ordinal, len(held), sum(map(size, held)) + len(held) - 1, held[0].created_at_ms, held[-1].created_at_ms, "\n".join(r.content or "" for r in held)))
-
-        for r in rows:
-            if held and r.created_at_ms - held[-1].created_at_ms > gap_ms:
-                if fresh:
-                    close()
-                held, fresh = [], 0
-            if held and (len(held) >= most or sum(map(size, held)) + len(held) + size(r) > most_bytes):
-                if fresh:
-                    close()
-                kept = held[-overlap:] if overlap else []
-                while kept and sum(map(size, kept)) + len(kept) + size(r) > most_bytes:
-                    kept = kept[1:]
-                held, fresh = list(kept), 0
-            held.append(r)
-            fresh += 1
+    The state depends on order: conversations stream by in order, and a task holds the open chunk
+    only, of at most ``most`` messages. A conversation is one task's work, of any length."""
+    order = [F.col("conversation"), F.col("created_at_ms").asc_nulls_last(), F.col("ordinal").asc_nulls_last()]
+    rows = messages.select("conversation", "ordinal", "created_at_ms", "content").repartition("conversation").sortWithinPartitions(*order)
+
+    def closed(batches):
+        """The rows of CHUNKS."""
+        current, index, held, sizes, fresh = (), 0, [], 0, 0  # sizes: the sum of the held messages'
+
+        def row() -> tuple:
+            return current[0], index, held[0][0], held[-1][0], len(held), sizes + len(held) - 1, held[0][1], held[-1][1], "\n".join(m[2] for m in held)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                for conversation, ordinal, ms, content in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    content = content or ""
+                    size = len(content.encode())
+                    if (conversation,) != current:
+                        if fresh:
+                            yield row()
+                        current, index, held, sizes, fresh = (conversation,), 0, [], 0, 0
+                    if held and None not in (ms, held[-1][1]) and ms - held[-1][1] > gap_ms:
+                        if fresh:
+                            yield row()
+                            index += 1
+                        held, sizes, fresh = [], 0, 0
+                    if held and (len(held) >= most or sizes + len(held) + size > most_bytes):
+                        if fresh:
+                            yield row()
+                            index += 1
+                        held, fresh = held[-overlap:] if overlap else [], 0
+                        sizes = sum(m[3] for m in held)
+                        while held and sizes + len(held) + size > most_bytes:
+                            sizes -= held[0][3]
+                            held = held[1:]
+                    held.append((ordinal, ms, content, size))
+                    sizes += size
+                    fresh += 1
         if fresh:
-            close()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+            yield row()
+
+    def task(batches):
+        found = closed(batches)
+        while part := list(islice(found, 1024)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), CHUNKS_SCHEMA, strict=True)], schema=CHUNKS_SCHEMA)
 
-    return messages.groupBy("conversation").applyInPandas(one, CHUNKS)
+    return rows.mapInArrow(task, CHUNKS)
 
 
 def todos(messages: DataFrame, cap: int = 80) -> DataFrame:

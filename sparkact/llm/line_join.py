@@ -1,8 +1,9 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if a line before it, in the order of (doc_id, position), is within ``edits`` edit
-operations. Lines under ``least`` characters are left alone. Lines are what stands between
-newlines.
+operations. Lines under ``least`` characters go only if they equal a line before and have
+``exact`` characters at least (``exact`` is ``least`` unless given: they are left alone then).
+Lines are what stands between newlines.
 
 Equal lines are one row from the first grouping on, under the place where they stand first.
 Each such line is split into ``edits + 1`` segments, one of which any line within reach holds
@@ -139,24 +140,24 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return both.where(shares_enough(x, y, edits) & (banded_distance(x, y, edits) <= edits)).select("a", "b")
 
 
-def kept_flags(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def kept_flags(docs: DataFrame, edits: int, least: int, exact: int) -> DataFrame:
     """doc_id, flags array<struct<pos, kept, near>> for all lines of a document in order."""
     spark = docs.sparkSession
-    lines = written(first_lines(docs, least), "lines")
+    lines = written(first_lines(docs, exact), "lines")
     release(spark)
-    late = near_pairs(lines, edits).select(F.greatest("a", "b").alias("id")).distinct().withColumn("near", F.lit(True))
+    late = near_pairs(lines.where(F.col("size") >= least), edits).select(F.greatest("a", "b").alias("id")).distinct().withColumn("near", F.lit(True))
     firsts = lines.select("id").join(late, "id", "left").select("id.doc_id", "id.pos", F.coalesce("near", F.lit(False)).alias("near"))
-    every = lines_of(docs).select("doc_id", "pos", (F.length("line") < least).alias("short"))
+    every = lines_of(docs).select("doc_id", "pos", (F.length("line") < exact).alias("short"))
     marked = every.join(firsts, ["doc_id", "pos"], "left")
     kept = F.col("short") | (F.col("near").isNotNull() & ~F.col("near"))
     flag = F.struct("pos", kept.alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
     return written(marked.groupBy("doc_id").agg(F.sort_array(F.collect_set(flag)).alias("flags")), "flags")
 
 
-def deduplicated(docs: DataFrame, edits: int = 1, least: int = 32) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = 1, least: int = 32, exact: int | None = None) -> DataFrame:
     """``docs`` with the kept lines as text, and _lines, _removed, _near: how many lines there
     were, how many are gone, and how many of these for a line that differs."""
-    flags = kept_flags(docs, edits, least).select(F.col("doc_id").alias("_doc"), F.col("flags").alias("_flags"))
+    flags = kept_flags(docs, edits, least, least if exact is None else min(exact, least)).select(F.col("doc_id").alias("_doc"), F.col("flags").alias("_flags"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("_flags"), i)["kept"]), "\n")
     joined = docs.join(flags, F.col("doc_id") == F.col("_doc"), "left")

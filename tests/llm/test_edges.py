@@ -79,3 +79,12 @@ def test_media_with_tag_bytes_in_the_text():
             assert media.unwrap(stored, parsed) == payload and not parsed["id3v1"]
     tagged = media.parse(stored + b"TAG" + b"title".ljust(125))
     assert tagged["id3v1"] and tagged["offsets"] == parsed["offsets"] and not tagged["skipped"]
+
+
+def test_line_stage_removes_short_repeats(spark):
+    from corpus_pipeline import line_stage
+
+    rows = [(1, "All rights reserved.\n\nOne of these"), (2, "two\n\nAll rights reserved.\nOne of those"), (3, "two\nAll rights reserved\ntwo\n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in line_stage(spark, d, "").collect()}
+    assert got == {1: rows[0][1], 2: "two\n\nOne of those", 3: "All rights reserved\n"}

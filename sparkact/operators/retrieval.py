@@ -54,7 +54,8 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", c
     asked = query.select("query_id", "q", vec.norm(F.col("q")).alias("_m"))
     lengths = F.col("_n") * F.col("_m")
     score = F.when(lengths == 0, F.lit(0.0)).otherwise(vec.dot(F.col("_v"), F.col("q")) / lengths)
-    scored = rows.crossJoin(asked).where(F.size("_v") == F.size("q")).select("query_id", key, score.alias("score"))
+    # As an equality, the lengths would become the join's key, and all vectors of one length one task's.
+    scored = rows.crossJoin(asked).where(F.size("_v") - F.size("q") == 0).select("query_id", key, score.alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

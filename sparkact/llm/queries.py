@@ -41,7 +41,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_join.removal_report(table(spark, sf_dir, "documents"))
+    return line_join.removal_report(table(spark, sf_dir, "documents"), exact=1)
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +68,14 @@ ORACLE = {
         lines AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM parts, unnest(range(1, len(ls) + 1)) AS u(i)),
         firsts AS (
             SELECT line, length(line) AS size, min({'d': doc_id, 'p': pos}) AS id
-            FROM lines WHERE length(line) >= 32 GROUP BY line),
+            FROM lines WHERE line <> '' GROUP BY line),
         near AS (
             SELECT DISTINCT b.id FROM firsts a JOIN firsts b
-                ON b.size - a.size BETWEEN -1 AND 1 AND a.id < b.id
+                ON a.size >= 32 AND b.size >= 32 AND b.size - a.size BETWEEN -1 AND 1 AND a.id < b.id
                 AND (left(a.line, 12) = left(b.line, 12) OR right(a.line, 12) = right(b.line, 12))
             WHERE levenshtein(a.line, b.line) <= 1),
         marked AS (
-            SELECT l.doc_id, l.pos, l.line, length(l.line) < 32 AS short, f.id IS NOT NULL AND n.id IS NULL AS is_first, n.id IS NOT NULL AS is_near
+            SELECT l.doc_id, l.pos, l.line, l.line = '' AS short, f.id IS NOT NULL AND n.id IS NULL AS is_first, n.id IS NOT NULL AS is_near
             FROM lines l LEFT JOIN firsts f ON f.id = {'d': l.doc_id, 'p': l.pos} LEFT JOIN near n ON n.id = f.id)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT (short OR is_first)) AS n_removed, count(*) FILTER (is_near) AS n_near,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (short OR is_first), '')) AS kept_sha256

@@ -135,6 +135,27 @@ def test_lines(spark, edits):
     assert got == expected
 
 
+def test_lines_of_one_template(spark):
+    """More lines under one key than are compared with each other, near and not near."""
+    r = random.Random(8)
+    form, lines = "an order of number {} was sent to the customer", []
+    for _ in range(150):
+        lines.append(form.format("".join(r.choices("123", k=r.choice((5, 6))))))
+    lines += [form.format(x) for x in "abcdefghijklmnopqrstuvwxyz"] + [form.format(x + "y") for x in "abcdefghijklmnopqrstuvwxyz"]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[10 * i : 10 * i + 10])) for i in range(21)]
+    seen, expected = [], {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n") if t else []:
+            if not any(abs(len(x) - len(y)) <= 1 and edit_distance(x, y) <= 1 for y in seen):
+                kept.append(x)
+            seen.append(x)
+        expected[i] = "\n".join(kept)
+    got = {x.doc_id: x.text for x in line_join.deduplicated(frame(spark, rows)).collect()}
+    assert got == expected and len(set(lines)) > 150
+
+
 def test_fingerprints(spark):
     rows = [*corpus(30, 7), (100, "Some  TEXT ﬁne"), (101, "some text fine"), (102, "some text\nFINE ")]
     got = {r.doc_id: r for r in fingerprints.fingerprinted(frame(spark, rows)).collect()}

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from sparkact.llm.common import written
 
 
-def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """(doc_id, component) of every vertex of ``edges`` (columns a, b): the smallest vertex that
-    it reaches. Each round's edges are written to the shared folder; a vertex with very many
-    neighbours is one key of a skew join, and minima are combined before the shuffle."""
+    it reaches. Rounds go on until one changes nothing. Each round's edges are written to the
+    shared folder; a vertex with very many neighbours is one key of a skew join, and minima are
+    combined before the shuffle."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -12,11 +12,13 @@ Two documents link if 100 * |x & y| >= percent * |x | y| for their sets of disti
    candidates that can still reach the overlap (DivideSkip). Blocks of any size are split;
    each part keeps the block's representative.
 3. Whatever links lie across blocks: prefixes in order of list length (short lists first);
-   lists whose documents are all in one component already need no search, and of the rest only
-   pairs of different components are probed whose shingles behind the shared one suffice for
-   the overlap, and whose parities differ in few enough places: a set's parities are those of
-   the numbers of its shingles in PARITIES hash classes, and each place in which two sets
-   differ is a shingle that only one of them has. Together this loses no link.
+   lists whose documents are all in one component already need no search. A list of more than
+   FEW documents is a block for the same search, split such that each two documents meet in a
+   part. Of the shorter lists only pairs of different components are probed whose shingles
+   behind the shared one suffice for the overlap, and whose parities differ in few enough
+   places: a set's parities are those of the numbers of its shingles in PARITIES hash classes,
+   and each place in which two sets differ is a shingle that only one of them has. Together
+   this loses no link.
 
 Defined results: a text without words (or null) has the empty set and is linked with nothing;
 with fewer words than a shingle has, the whole sequence is its one shingle. Rows of one doc_id
@@ -25,6 +27,7 @@ are copies of one document. Rows without a doc_id have no component.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -43,6 +46,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 QUARTER = np.uint64(1 << 62)
 FLUSH = 4_000_000
+RANGE = 5_000  # documents whose credits are summed together
+FEW = 64  # documents of one prefix shingle that are compared as pairs; more are searched in blocks
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -85,7 +90,7 @@ SEEN = "doc_id long, n long, nq long, h1 long, h2 long, shared long, late long"
 SEEN_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in SEEN.split(", ")])
 
 
-def lists(keys: list[np.ndarray], docs: list[np.ndarray], buckets: int):
+def lists(keys: list[np.ndarray], docs: list[np.ndarray], buckets: int, ranges: int):
     """Kind 0: (shingle, document, credited); kind 2: (document, how many of its shingles, and of
     these how many behind the first quarter, this task saw in another document too)."""
     key, doc = np.concatenate(keys), np.concatenate(docs)
@@ -95,12 +100,12 @@ def lists(keys: list[np.ndarray], docs: list[np.ndarray], buckets: int):
     starts = np.flatnonzero(head)
     sizes = np.diff(np.append(starts, len(key)))
     common = np.repeat(sizes > 1, sizes)
-    yield from credit_rows(*credits(key[common], doc[common]), buckets)
+    yield from credit_rows(*credits(key[common], doc[common]), ranges)
     yield from rows_of(0, key[head], [key[head], doc[head], (sizes > 1).astype("<u1")], buckets)
 
 
-def credit_rows(who: np.ndarray, n: np.ndarray, late: np.ndarray, buckets: int):
-    return rows_of(2, mix64(who.astype(np.uint64)), [who, n.astype("<u4"), late.astype("<u4")], buckets)
+def credit_rows(who: np.ndarray, n: np.ndarray, late: np.ndarray, ranges: int):
+    return rows_of(2, mix64(who.astype(np.uint64)), [who, n.astype("<u4"), late.astype("<u4")], ranges)
 
 
 def credits(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ def credits(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return who, n, np.bincount(at, key >= QUARTER, len(who)).astype(np.int64)
 
 
-def map_lists(words: int):
+def map_lists(words: int, ranges: int):
     """Lists of the first quarter of the hash space; kind 1: facts of a document."""
 
     def task(batches, buckets):
@@ -122,59 +127,74 @@ def map_lists(words: int):
             low = h < QUARTER
             digests = [xxhash.xxh3_128_intdigest(h[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             two = np.array([(d >> 64, d & (1 << 64) - 1) for d in digests], np.uint64).view(np.int64)
-            yield from rows_of(1, mix64(ids.astype(np.uint64)), [ids, size.astype("<u4"), np.bincount(who[low], minlength=len(ids)).astype("<u4"), np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1])], buckets)
+            yield from rows_of(1, mix64(ids.astype(np.uint64)), [ids, size.astype("<u4"), np.bincount(who[low], minlength=len(ids)).astype("<u4"), np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1])], ranges)
             keys.append(h[low])
             docs.append(ids[who[low]])
             n += len(keys[-1])
             if n >= FLUSH:
-                yield from lists(keys, docs, buckets)
+                yield from lists(keys, docs, buckets, ranges)
                 keys, docs, n = [], [], 0
         if n:
-            yield from lists(keys, docs, buckets)
+            yield from lists(keys, docs, buckets, ranges)
 
     return task
 
 
-def map_whole_lists(batches, buckets):
+def map_whole_lists(ranges: int):
     """Lists of the whole hash space, of rows (doc_id, shingles)."""
-    keys, docs, n = [], [], 0
-    for batch in batches:
-        for doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys.append(np.frombuffer(raw, "<u8"))
-            docs.append(np.full(len(keys[-1]), doc))
-            n += len(keys[-1])
-            if n >= FLUSH:
-                yield from lists(keys, docs, buckets)
-                keys, docs, n = [], [], 0
-    if n:
-        yield from lists(keys, docs, buckets)
 
+    def task(batches, buckets):
+        keys, docs, n = [], [], 0
+        for batch in batches:
+            for doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys.append(np.frombuffer(raw, "<u8"))
+                docs.append(np.full(len(keys[-1]), doc))
+                n += len(keys[-1])
+                if n >= FLUSH:
+                    yield from lists(keys, docs, buckets, ranges)
+                    keys, docs, n = [], [], 0
+        if n:
+            yield from lists(keys, docs, buckets, ranges)
+
+    return task
 
-def reduce_lists(buckets: int):
+
+def reduce_lists(ranges: int):
     """Facts and credits, packed by document for :func:`reduce_credits`."""
 
     def task(held):
         rows = []
         if 1 in held:
             meta = all_of(held[1], META)
-            rows.append(rows_of(1, mix64(meta[0].astype(np.uint64)), meta, buckets))
+            rows.append(rows_of(1, mix64(meta[0].astype(np.uint64)), meta, ranges))
         if 2 in held:
-            rows.append(credit_rows(*all_of(held[2], CREDIT), buckets))
+            rows.append(credit_rows(*summed(held[2]), ranges))
         if 0 in held:
             key, doc, credited = all_of(held[0], ["<u8", "<i8", "<u1"])
             order = np.argsort(key, kind="stable")
             key, doc, credited = key[order], doc[order], credited[order]
             sizes = np.diff(np.append(np.flatnonzero(first_of_runs(key)), len(key)))
             found = np.repeat(sizes > 1, sizes) & (credited == 0)
-            rows.append(credit_rows(*credits(key[found], doc[found]), buckets))
+            rows.append(credit_rows(*credits(key[found], doc[found]), ranges))
         yield from record_batches(chain.from_iterable(rows))
 
     return task
 
 
+def summed(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Credits (document, n, late) of all payloads, one row a document; few are unpacked at a time."""
+    who, n, late = np.zeros(0, "<i8"), np.zeros(0, "<u4"), np.zeros(0, "<u4")
+    for at in range(0, len(payloads), 64):
+        more = all_of(payloads[at : at + 64], CREDIT)
+        ids, place = np.unique(np.concatenate([who, more[0]]), return_inverse=True)
+        n, late = (np.bincount(place, np.concatenate(x), len(ids)).astype("<u4") for x in ((n, more[1]), (late, more[2])))
+        who = ids
+    return who, n, late
+
+
 def reduce_credits(held):
     """A row for each document: its facts, if they were sent, and the sums of its credits."""
-    who, n, late = all_of(held[2], CREDIT) if 2 in held else (np.zeros(0, "<i8"), np.zeros(0, "<u4"), np.zeros(0, "<u4"))
+    who, n, late = summed(held.get(2, []))
     meta = all_of(held[1], META) if 1 in held else [who]
     ids, first = np.unique(meta[0], return_index=True)
     at = np.searchsorted(ids, who)
@@ -183,10 +203,12 @@ def reduce_credits(held):
     yield pa.RecordBatch.from_arrays([pa.array(ids), *facts, *map(pa.array, sums)], schema=SEEN_SCHEMA)
 
 
-def listed(df: DataFrame, map_task) -> DataFrame:
-    """Both exchanges: by shingle, then by document; see SEEN."""
-    n = shuffle_partitions(df.sparkSession)
-    return reduced(exchanged(df, map_task, reduce_lists(n), PACKED_DDL), reduce_credits, SEEN)
+def listed(df: DataFrame, map_task, documents: int) -> DataFrame:
+    """Both exchanges: by shingle, then by document; see SEEN. Documents are dealt to ranges by
+    their number, not by that of the tasks: what a task sends is a row for each range that it has
+    credits for."""
+    ranges = -(-documents // RANGE) or 1
+    return reduced(exchanged(df, map_task(ranges), reduce_lists(ranges), PACKED_DDL), reduce_credits, SEEN)
 
 
 SETS = "doc_id long, n long, shingles binary"
@@ -271,15 +293,29 @@ def pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_SCHEMA)
 
 
-def searched(blocks: DataFrame, percent: int, most: int) -> DataFrame:
-    """Links inside blocks (columns block, doc_id, shingles), as edges to a component's first
-    document. A block of more than ``most`` documents is dealt to parts, each of which also
-    gets the block's first document."""
-    spark = blocks.sparkSession
+def with_first(blocks: DataFrame, most: int) -> DataFrame:
+    """(block, part, doc_id): blocks (block, doc_id) of more than ``most`` documents are dealt to
+    parts, each of which also gets the block's first document."""
     sizes = blocks.groupBy("block").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep")).where("size > 1")
     dealt = blocks.join(sizes, "block").withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
     part = F.when(F.col("doc_id") == F.col("rep"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
-    rows = dealt.withColumn("part", F.explode(part)).select("block", "part", "doc_id", "shingles").repartition(shuffle_partitions(spark), "block", "part").sortWithinPartitions("block", "part", "doc_id")
+    return dealt.select("block", F.explode(part).alias("part"), "doc_id")
+
+
+def with_each_other(blocks: DataFrame, most: int) -> DataFrame:
+    """(block, part, doc_id): blocks of more than ``most`` documents are dealt to parts such that
+    each two documents meet in one of them."""
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = blocks.join(sizes, "block").withColumn("parts", F.ceil(2 * F.col("size") / most).cast("int"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != own)
+    part = F.when(F.col("size") <= most, F.array(F.lit(0))).otherwise(F.transform(others, lambda p: (F.least(p, own) * F.col("parts") + F.greatest(p, own)).cast("int")))
+    return dealt.select("block", F.explode(part).alias("part"), "doc_id")
+
+
+def searched(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside each (block, part), as edges to a component's first document."""
+    rows = parts.join(sets.select("doc_id", "shingles"), "doc_id").select("block", "part", "doc_id", "shingles").repartition(shuffle_partitions(sets.sparkSession), "block", "part").sortWithinPartitions("block", "part", "doc_id")
 
     def search(ids, sets):
         if len(ids) > 1:
@@ -368,13 +404,13 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
     named = docs.select("doc_id", "text").where("doc_id is not null")
     missing = F.floor(F.col("n") * F.lit(100 - percent) / 100)
     able = (F.col("n") > 0) & (F.col("nq") - F.col("shared") <= missing)
-    facts = written(listed(named, map_lists(words)).select("doc_id", "n", "h1", "h2", able.alias("able")), "facts")
+    facts = written(listed(named, partial(map_lists, words), named.count()).select("doc_id", "n", "h1", "h2", able.alias("able")), "facts")
     classes = written(facts.where("able").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
     sets = written(sets_of(named.join(broadcast_if_small(reps, classes.count()), "doc_id", "left_semi"), words), "sets")
     release(spark)
 
-    common = written(listed(sets.select("doc_id", "shingles"), map_whole_lists).select("doc_id", "shared", "late"), "common")
+    common = written(listed(sets.select("doc_id", "shingles"), map_whole_lists, sets.count()).select("doc_id", "shared", "late"), "common")
     release(spark)
     partner = written(sets.join(common, "doc_id").where(F.col("n") - F.col("shared") <= missing).drop("shared").withColumnRenamed("late", "late_common"), "partners")
 
@@ -395,7 +431,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
 
     links = None
     for block in ("low", "high"):
-        found = searched(prefixes.select(F.col(block).alias("block"), "doc_id").join(partner.select("doc_id", "shingles"), "doc_id"), percent, most)
+        found = searched(with_first(prefixes.select(F.col(block).alias("block"), "doc_id"), most), partner, percent)
         links = found if links is None else links.unionByName(found)
     links = written(links, "links")
     label = written(stars(links), "labels")
@@ -404,6 +440,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
     rows = prefixes.select("doc_id", "n", "lonely", F.posexplode("prefix").alias("at", "token")).withColumn("left", F.col("n") - F.col("lonely") - F.col("at")).drop("lonely", "at").join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     mixed = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("token")
     open_ = written(rows.join(mixed, "token"), "open")
+    crowded = open_.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > FEW).select("token")
+    met = searched(with_each_other(open_.join(crowded, "token").select(F.col("token").alias("block"), "doc_id"), most), partner, percent)
+    open_ = open_.join(crowded, "token", "left_anti")
     odd = parities_of(partner.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"))
     open_ = written(open_.join(odd, "doc_id"), "open-parities")
     words_ = [f"p{i}" for i in range(WORDS)]
@@ -413,7 +452,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
     enough = lambda shared: shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent
     near = (F.col("label_a") < F.col("label_b")) & enough(most_shared) & enough(F.floor((F.col("n_a") + F.col("n_b") - differing) / 2))
     candidates = written(a.join(b, "token").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "candidates")
-    across = written(probed(candidates, partner, percent), "across")
+    across = written(probed(candidates, partner, percent).unionByName(met), "across")
     if not across.isEmpty():
         label = written(stars(links.unionByName(across)), "labels")
 
@@ -426,5 +465,5 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, most: int = 1
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are linked, directly or not, with one of smaller doc_id."""
-    found = components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = components(docs, words, percent).where("doc_id <> component_id").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])

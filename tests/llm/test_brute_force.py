@@ -101,6 +101,26 @@ def test_ngram_isolated_pairs(spark, percent):
     assert got == expected
 
 
+def test_ngram_crowded_prefixes(spark, monkeypatch):
+    """Short lists as blocks, split into parts, so that links come from the search in them."""
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    r, rows = random.Random(6), []
+    rare = [f"rare{i}" for i in range(4)]
+    for i in range(60):
+        base = random.Random(i // 3).choices("abcdefghijklmnopqrstuvwxyz", k=14)
+        rows.append((i, " ".join([*base, r.choice(rare), *(r.choices("xyz", k=2) if i % 3 else [])])))
+    sets = {i: set(t.split()) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if i < j and 100 * both >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    got = {x.doc_id: x.component_id for x in ngram_join.components(frame(spark, rows), 1, 80, most=6).collect()}
+    assert got == root and len(set(root.values())) < 60
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

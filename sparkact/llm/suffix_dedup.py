@@ -4,16 +4,21 @@ A byte is removed if it lies in a string of ``length`` bytes that also starts in
 smaller doc_id. As only equality of the first ``length`` bytes of suffixes matters, the
 refinement of suffix buckets stops there:
 
-1. Every suffix has a first bucket, that of its q-gram (q is half the length). Of the buckets
-   met by a string of ``length`` bytes, the smallest is its anchor; neighbouring suffixes with
-   one anchor form a run. Runs are sorted by (anchor, digest of all bucket identifiers at the
-   run's later offsets): equal pairs are equal strings, settled at once for the whole run.
-2. Runs whose anchor bucket still holds different strings are refined suffix by suffix, by the
-   pair of bucket identifiers at the offsets 0 and q, through the same exchange.
+1. Every suffix begins in the bucket of its first 8 bytes, which are its identifier. Buckets are
+   refined by the identifiers at a later offset, and each refinement uses those of the one
+   before: 8 bytes, 16, then q, half the length.
+2. Of the q-gram buckets met by a string of ``length`` bytes, the smallest is its anchor;
+   neighbouring suffixes with one anchor form a run. Runs are sorted by (anchor, digest of all
+   bucket identifiers at the run's later offsets): equal pairs are equal strings, settled at
+   once for the whole run.
+3. Runs whose anchor bucket still holds different strings are refined once more, suffix by
+   suffix, by the pair of bucket identifiers at the offsets 0 and q, through the same exchange.
 
 Entries that a map task can settle among its own rows never leave it, and of each bucket it
-sends the smallest document only, so hot passages don't gather in one task. Bucket identifiers
-are 64-bit digests and a pair has 96 bits or more.
+sends the smallest document only. Of an anchor with different strings in a task's documents it
+sends a mark, and its runs to step 3. So a task sends at most one row for a hot passage or anchor
+each time it sends, and neither gathers in one task. Refined identifiers are 64-bit digests and a
+pair has 96 bits or more.
 
 Defined results: a null text counts as empty, and a text shorter than ``length`` is kept; rows
 without a doc_id are kept whole and remove nothing; rows of one doc_id are copies of one
@@ -34,7 +39,7 @@ from sparkact.llm.exchange import all_of, exchanged, first_of_runs, rows_of
 from sparkact.llm.media import batched
 
 LENGTH = 50
-FLUSH = 3_000_000  # entries that a map task holds before it settles and sends them
+FLUSH = 1_000_000  # entries that a map task holds before it settles and sends them
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 ENTRY = ["<u8", "<u4", "<i8", "<u4", "<u4"]  # key, second key, document, position, bytes
@@ -45,22 +50,22 @@ COVERED, REFINE = 1, 2
 
 
 def grams(b: np.ndarray, q: int) -> np.ndarray:
-    """Bucket identifiers of all q-grams of ``b`` (uint8), by doubling."""
-    cur, width, out, done = b.astype(np.uint64) + np.uint64(1), 1, None, 0
-    while True:
-        if q & width:
-            if out is None:
-                out = cur
-            else:
-                later = cur[done:]
-                m = min(len(out), len(later))
-                out = out[:m] * np.uint64(pow(BASE, width, 1 << 64)) + later[:m]
-            done += width
-        if width * 2 > q:
-            return mix64(out[: len(b) - q + 1])
-        later = cur[width:]
-        cur = cur[: len(later)] * np.uint64(pow(BASE, width, 1 << 64)) + later
+    """Bucket identifiers of all q-grams of ``b`` (uint8)."""
+    first = 1 << min(q, 8).bit_length() - 1
+    ids, width = b.astype(np.uint64), 1
+    while width < first:  # the bytes themselves
+        ids = (ids[: len(ids) - width] << np.uint64(8 * width)) | ids[width:]
         width *= 2
+    return refined(ids, width, q)
+
+
+def refined(ids: np.ndarray, width: int, q: int) -> np.ndarray:
+    """Identifiers of q-grams from those of ``width`` bytes: buckets are refined by the identifiers
+    at the offset of their width (or less, for the last bytes), and these again."""
+    if width == q:
+        return mix64(ids * np.uint64(BASE2))
+    later = min(width, q - width)
+    return refined(mix64(ids[: len(ids) - later] * np.uint64(BASE)) + ids[later:] * np.uint64(BASE2), width + later, q)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -130,14 +135,31 @@ def settled(key, second, doc, pos, n) -> tuple[np.ndarray, np.ndarray]:
     return order, d > smallest
 
 
-def sent(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Packed rows: kind 0 entries for the reduce tasks, kind 1 spans that are settled already."""
+def opened(key, second, doc) -> np.ndarray:
+    """Of sorted entries: whether their key has different strings and stands in several documents."""
+    head = first_of_runs(key)
+    starts = np.flatnonzero(head)
+    kinds = np.add.reduceat(first_of_runs(key, second).astype(np.int64), starts)
+    return ((kinds > 1) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)))[np.cumsum(head) - 1]
+
+
+def sent(parts: list[tuple[np.ndarray, ...]], buckets: int, refine: bool) -> Iterator[tuple[int, int, bytes]]:
+    """Packed rows: kind 0 entries for the reduce tasks, kind 1 spans that are settled already, and
+    if asked for kind 2 spans to REFINE and kind 3 their keys."""
     entry = [np.concatenate(c).astype(k) for c, k in zip(zip(*parts, strict=True), ENTRY, strict=True)]
+    parts.clear()
     if not len(entry[0]):
         return
     order, covered = settled(*entry)
     entry = [a[order] for a in entry]
-    yield from rows_of(0, entry[0][~covered], [a[~covered] for a in entry], buckets)
+    own = ~covered
+    if refine:
+        todo = opened(*entry[:3]) & own
+        yield from rows_of(2, mix64(entry[2][todo].astype(np.uint64)), [a[todo] for a in entry[2:]], buckets)
+        marks = np.unique(entry[0][todo])
+        yield from rows_of(3, marks, [marks], buckets)
+        own &= ~todo
+    yield from rows_of(0, entry[0][own], [a[own] for a in entry], buckets)
     yield from rows_of(1, mix64(entry[2][covered].astype(np.uint64)), [a[covered] for a in entry[2:]], buckets)
 
 
@@ -149,8 +171,9 @@ def resolved(refine: bool):
     """The reduce side: COVERED spans, and if asked for those to REFINE."""
 
     def reduce_bucket(held):
-        if 1 in held:
-            yield spans(*all_of(held[1], SPAN), COVERED)
+        for kind, code in ((1, COVERED), (2, REFINE)):
+            if kind in held:
+                yield spans(*all_of(held[kind], SPAN), code)
         if 0 not in held:
             return
         entry = all_of(held[0], ENTRY)
@@ -158,12 +181,8 @@ def resolved(refine: bool):
         key, second, doc, pos, n = (a[order] for a in entry)
         yield spans(doc[covered], pos[covered], n[covered], COVERED)
         if refine:
-            head = first_of_runs(key)
-            group = np.cumsum(head) - 1
-            starts = np.flatnonzero(head)
-            kinds = np.add.reduceat(first_of_runs(key, second).astype(np.int64), starts)
-            least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-            open_ = ~covered & ((kinds > 1) & (least < most))[group]
+            marks = np.unique(np.concatenate(all_of(held[3], ["<u8"]))) if 3 in held else key[:0]
+            open_ = ~covered & (opened(key, second, doc) | np.isin(key, marks))
             yield spans(doc[open_], pos[open_], n[open_], REFINE)
 
     return reduce_bucket
@@ -194,10 +213,10 @@ def map_runs(length: int):
             parts.append((anchor, digest >> np.uint64(32), docs[who], pos, size))
             n += len(anchor)
             if n >= FLUSH:
-                yield from sent(parts, buckets)
+                yield from sent(parts, buckets, True)
                 parts, n = [], 0
         if parts:
-            yield from sent(parts, buckets)
+            yield from sent(parts, buckets, True)
 
     return task
 
@@ -218,10 +237,10 @@ def map_suffixes(length: int):
                     parts.append((mix64(here + later * np.uint64(BASE2)), here >> np.uint64(32), np.full(count, doc), np.arange(pos, pos + count), np.full(count, length)))
                     n += count
                 if n >= FLUSH:
-                    yield from sent(parts, buckets)
+                    yield from sent(parts, buckets, False)
                     parts, n = [], 0
         if parts:
-            yield from sent(parts, buckets)
+            yield from sent(parts, buckets, False)
 
     return task
 
@@ -233,9 +252,9 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = written(exchanged(named, map_runs(length), resolved(True), SPANS), "runs")
     release(spark)
     todo = first.where(F.col("code") == REFINE).dropDuplicates(["doc_id", "pos", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    refined = written(exchanged(named.join(todo, "doc_id").select("doc_id", "spans", "text"), map_suffixes(length), resolved(False), SPANS), "suffixes")
+    late = written(exchanged(named.join(todo, "doc_id").select("doc_id", "spans", "text"), map_suffixes(length), resolved(False), SPANS), "suffixes")
     release(spark)
-    return first.where(F.col("code") == COVERED).unionByName(refined).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    return first.where(F.col("code") == COVERED).unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
 def kept(text: str | None, where: list | None) -> tuple[bytes, int, int, int]:
@@ -275,5 +294,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else kept(t, list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.join(repeated(docs, length).withColumnRenamed("spans", "_spans"), "doc_id", "left")
-    return joined.withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    held = docs.select(F.col("doc_id"), F.struct("*").alias("row")).join(repeated(docs, length), "doc_id", "left")
+    text = cut("row.text", "spans")
+    return held.select(*[text.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns])

@@ -1,16 +1,18 @@
 """MPEG audio columns: parse streams, and carry byte payloads in silent Layer III frames.
 
-:func:`parse` resynchronises frame headers (a header counts only where the next one, or the
-stream's end, stands where its length says), parses ID3v2 and ID3v1 tags and the Xing, Info
-and VBRI tables, verifies the 16-bit frame checksums, and gives the exact duration as a
-fraction and the byte offset of every frame.
+:func:`parse` resynchronises frame headers: a header counts where the next one, or the stream's
+end, stands where its length says, or if it follows a frame and its own checksum holds. It parses
+ID3v2 and ID3v1 tags and the Xing, Info and VBRI tables, verifies the 16-bit frame checksums of
+all layers, and gives the exact duration as a fraction and the byte offset of every frame. Frames
+of free format, whose headers don't tell their length, are skipped.
 
 :func:`wrap` stores a payload losslessly: an ID3v2 tag with the payload's length and crc32,
 a frame with a Xing table, then frames whose side information is zero (silence), so that the
 bytes behind it are ancillary data. :func:`unwrap` reads the payload back.
 
-Defined results: null bytes count as empty; a stream without frames has duration 0 and no
-offsets; garbage between frames is skipped and counted.
+Defined results: null bytes or texts count as empty; a stream without frames has duration 0 and
+no offsets; garbage between frames is skipped and counted. Each row, repeated or not, has its own
+result, an empty table none; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,14 @@ KBPS = {
 }
 HZ = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000, 8000)}
 CRC_POLYNOMIAL = 0x8005
+# Layer II: bits of the allocation of each subband, as (subbands, bits), by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
 
 
 @lru_cache(4096)
@@ -57,15 +67,47 @@ def header(four: bytes) -> tuple | None:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of the first ``bits`` of ``data`` (all by default)."""
     c = 0xFFFF
-    for byte in data:
-        c ^= byte << 8
-        for _ in range(8):
-            c = (c << 1 ^ CRC_POLYNOMIAL if c & 0x8000 else c << 1) & 0xFFFF
+    for i in range(8 * len(data) if bits is None else bits):
+        c ^= (data[i >> 3] >> 7 - (i & 7) & 1) << 15
+        c = (c << 1 ^ CRC_POLYNOMIAL if c & 0x8000 else c << 1) & 0xFFFF
     return c
 
 
+def protected_bits(frame: bytes) -> int:
+    """How many bits behind the checksum it covers, besides the last 16 of the header: the side
+    information of Layer III, the allocation of Layer I, allocation and scale factor selection of
+    Layer II."""
+    version, layer, kbps, hz, _, _, _, side = header(frame[:4])
+    if layer == 3:
+        return 8 * side
+    mode = frame[3] >> 6
+    channels, bound = (1, 32) if mode == 3 else (2, 4 * (frame[3] >> 4 & 3) + 4 if mode == 1 else 32)
+    if layer == 1:
+        return 4 * (channels * bound + 32 - bound) if channels == 2 else 128
+    each = kbps // channels
+    kind = "lsf" if version != 1 else ("d" if hz == 32000 else "c") if each < 56 else "a" if hz == 48000 or each < 96 else "b"
+    body, at, chosen, subband = int.from_bytes(frame[6:], "big"), 0, 0, 0
+    total = 8 * (len(frame) - 6)
+    for count, width in ALLOCATION[kind]:
+        for _ in range(count):
+            own = channels if subband < bound else 1
+            for _ in range(own):
+                used = body >> max(0, total - at - width) & (1 << width) - 1
+                chosen += bool(used) * (channels if own < channels else 1)
+                at += width
+            subband += 1
+    return min(at + 2 * chosen, total)
+
+
+def intact(frame: bytes) -> bool:
+    """Whether a protected frame's checksum holds."""
+    bits = protected_bits(frame)
+    return len(frame) > 6 and crc16(frame[2:4] + frame[6 : 6 + -(-bits // 8)], 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
 def id3v2(data: bytes) -> tuple[int, dict[str, bytes]]:
     """The tag's bytes and its frames by identifier (versions 2.3 and 2.4)."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
@@ -130,11 +172,12 @@ def scanned(data: bytes, start: int, end: int, tags: dict[str, bytes]) -> dict:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = h and at + h[4]
-        if h and after <= end and (after == end or (n := header(data[after : after + 4])) and n[:2] == h[:2] or (offsets and offsets[-1] + sizes[-1] == at)):
+        sure = h and after <= end and (after == end or (n := header(data[after : after + 4])) and n[:2] == h[:2])
+        holds = h and h[6] and after <= end and intact(data[at:after])
+        if sure or holds and offsets and offsets[-1] + sizes[-1] == at:
             version, layer, kbps, rate, size, count, protected, side = h
-            if protected and layer == 3:
-                checked += 1
-                wrong += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            checked += protected
+            wrong += protected and not holds
             if not offsets:
                 table = vbr_table(data[at:after], side)
             if offsets or not table:
@@ -201,8 +244,7 @@ def unwrap(data: bytes, parsed: dict) -> bytes:
 def feature(parsed: dict) -> str:
     """Exact duration, frames, resynchronised bytes and seek offsets as text."""
     s, offsets = parsed["seconds"], parsed["offsets"]
-    seek = offsets[:: max(1, -(-len(offsets) // 16))]
-    return f"duration={s.numerator}/{s.denominator};frames={len(offsets)};checked={parsed['checksums']};wrong={parsed['checksums_wrong']};skipped={parsed['skipped']};vbr={(parsed['vbr'] or {}).get('kind', '-')};seek={','.join(map(str, seek))}"
+    return f"duration={s.numerator}/{s.denominator};frames={len(offsets)};checked={parsed['checksums']};wrong={parsed['checksums_wrong']};skipped={parsed['skipped']};vbr={(parsed['vbr'] or {}).get('kind', '-')};seek={','.join(map(str, offsets))}"
 
 
 def batched(batches, row, schema: pa.Schema, size: int = 256):

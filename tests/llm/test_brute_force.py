@@ -296,6 +296,55 @@ def test_media_round_trip_and_resync():
     assert media.parse(b"")["offsets"] == [] and media.parse(None)["seconds"] == 0
 
 
+def plain_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = c >> 15 ^ b
+        c = c << 1 & 0xFFFF
+        if top:
+            c ^= 0x8005
+    return c
+
+
+def bits_of(data):
+    return [x >> k & 1 for x in data for k in range(7, -1, -1)]
+
+
+def test_media_layers_and_tables():
+    """Streams of other layers and versions, put together from the format's description."""
+    # Layer I, 32 kHz, 32 kbit/s, mono, protected: 48 bytes, 384 samples, 128 bits of allocation
+    body = bytes([0x12] * 16) + bytes(26)
+    head = bytes([0xFF, 0xFE, 0x18, 0xC0])
+    one = head + plain_crc(bits_of(head[2:] + body[:16])).to_bytes(2, "big") + body
+    assert len(one) == 48
+    got = media.parse(one * 3)
+    assert got["offsets"] == [0, 48, 96] and got["seconds"] == media.Fraction(3 * 384, 32000) and (got["checksums"], got["checksums_wrong"]) == (3, 0)
+    bad = one + one[:10] + bytes([one[10] ^ 1]) + one[11:] + one
+    assert media.parse(bad)["checksums_wrong"] == 1
+    # Layer II, 48 kHz, 32 kbit/s, mono: 8 subbands, of which the first two are in use
+    head = bytes([0xFF, 0xFC, 0x14, 0xC0])
+    body = bytes([0b0001_0010, 0, 0, 0b00_01_10_00]) + bytes(86)  # 2 x 4 bits, 6 x 3 bits, then 2 x 2 bits
+    covered = bits_of(body)[: 8 + 18 + 4]
+    two = head + plain_crc(bits_of(head[2:]) + covered).to_bytes(2, "big") + body
+    assert len(two) == 96
+    got = media.parse(two * 2)
+    assert got["offsets"] == [0, 96] and got["seconds"] == media.Fraction(2 * 1152, 48000) and (got["checksums"], got["checksums_wrong"]) == (2, 0)
+    # MPEG-2 Layer III, 22.05 kHz, 8 kbit/s, unprotected; a VBRI table in a frame before
+    frame = bytes([0xFF, 0xF3, 0x10, 0xC0]) + bytes(22)
+    first = bytes([0xFF, 0xF3, 0x40, 0xC0]) + bytes(32)
+    first += b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (500).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes([0, 2, 0, 3, 0, 1, 0, 2]) + bytes([7, 9])
+    first = first.ljust(104, b"\0")
+    got = media.parse(first + frame * 4)
+    assert got["vbr"] == {"kind": "VBRI", "bytes": 500, "frames": 4, "quality": 75, "toc": [21, 27], "frames_per_entry": 2}
+    assert got["offsets"] == [0, 104, 130, 156, 182] and got["seconds"] == media.Fraction(4 * 576, 22050) and got["checksums"] == 0
+
+
+def test_media_keeps_all_seek_offsets():
+    stored = media.wrap(b"y" * 64 * 400)
+    parsed = media.parse(stored)
+    assert len(parsed["offsets"]) > 25 and media.feature(parsed).endswith("seek=" + ",".join(map(str, parsed["offsets"])))
+
+
 def test_toxicity_ignores_neutral_mentions():
     r = random.Random(2)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(50)]

@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 from sparkact.llm.common import mix64, release, written
 from sparkact.llm.exchange import all_of, exchanged, first_of_runs, rows_of
-from sparkact.llm.media import batched
 
 LENGTH = 50
 FLUSH = 1_000_000  # entries that a map task holds before it settles and sends them
@@ -221,24 +220,32 @@ def map_runs(length: int):
     return task
 
 
+PLACE = "shiftleft(pos, 32) | n"  # a span in one long
+
+
 def map_suffixes(length: int):
-    """Entries for every suffix of the runs that are to be refined."""
+    """Entries for every suffix of the runs that are to be refined, of rows (doc_id, spans, text)."""
     q = length // 2
 
     def task(batches, buckets):
-        parts, n = [], 0
-        for rows in chunks(batches, 3):
-            for doc, where, text in rows:
-                b = np.frombuffer(text, np.uint8)
-                for pos, size in ((w["pos"], w["n"]) for w in where):
-                    ids = grams(b[pos : pos + size], q)
-                    count = size - length + 1
-                    here, later = ids[:count], ids[q : q + count]
-                    parts.append((mix64(here + later * np.uint64(BASE2)), here >> np.uint64(32), np.full(count, doc), np.arange(pos, pos + count), np.full(count, length)))
-                    n += count
-                if n >= FLUSH:
+        parts, held = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                raw = [t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
+                base = np.cumsum([0, *map(len, raw)])
+                ids = grams(np.frombuffer(b"".join(raw), np.uint8), q)
+                own = np.repeat(np.arange(len(raw)), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                span = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                count = (span & 0xFFFFFFFF) - length + 1
+                ends = np.cumsum(count)
+                where = np.repeat(base[own] + (span >> 32) - (ends - count), count) + np.arange(ends[-1])
+                here, who = ids[where], np.repeat(own, count)
+                parts.append((mix64(here + ids[where + q] * np.uint64(BASE2)), here >> np.uint64(32), part.column(0).to_numpy(zero_copy_only=False)[who], where - base[who], np.full(len(where), length)))
+                held += len(where)
+                if held >= FLUSH:
                     yield from sent(parts, buckets, False)
-                    parts, n = [], 0
+                    parts, held = [], 0
         if parts:
             yield from sent(parts, buckets, False)
 
@@ -246,28 +253,26 @@ def map_suffixes(length: int):
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, spans array<struct<pos, n>>) of the documents that have bytes to remove."""
+    """(doc_id, spans array<long>) of the documents that have bytes to remove; see PLACE."""
     spark = docs.sparkSession
-    named = docs.select("doc_id", "text").where("doc_id is not null")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     first = written(exchanged(named, map_runs(length), resolved(True), SPANS), "runs")
     release(spark)
-    todo = first.where(F.col("code") == REFINE).dropDuplicates(["doc_id", "pos", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    todo = first.where(F.col("code") == REFINE).groupBy("doc_id").agg(F.collect_set(F.expr(PLACE)).alias("spans"))
     late = written(exchanged(named.join(todo, "doc_id").select("doc_id", "spans", "text"), map_suffixes(length), resolved(False), SPANS), "suffixes")
     release(spark)
-    return first.where(F.col("code") == COVERED).unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    return first.where(F.col("code") == COVERED).unionByName(late).groupBy("doc_id").agg(F.collect_list(F.expr(PLACE)).alias("spans"))
 
 
-def kept(text: str | None, where: list | None) -> tuple[bytes, int, int, int]:
+def kept(text: str | None, where: np.ndarray | None) -> tuple[bytes, int, int, int]:
     """(remaining bytes, bytes, removed bytes, removed runs)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    if not where:
+    if where is None:
         return raw, len(raw), 0, 0
-    pos, n = np.array([s["pos"] for s in where]), np.array([s["n"] for s in where])
-    steps = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(steps, pos, 1)
-    np.add.at(steps, pos + n, -1)
+    pos, n = where >> 32, where & 0xFFFFFFFF
+    steps = np.bincount(pos, minlength=len(raw) + 1) - np.bincount(pos + n, minlength=len(raw) + 1)
     gone = np.cumsum(steps[:-1]) > 0
-    runs_ = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+    runs_ = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), runs_
 
 
@@ -279,12 +284,17 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in REPORT.split(", "))])
 
-    def row(doc_id, text, where):
-        rest, n, removed, count = kept(text, where)
-        return doc_id, n, removed, count, sha256(rest).hexdigest()
+    def task(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for text, where in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                    rest, n, removed, count = kept(text, where.values.to_numpy(zero_copy_only=False) if where.is_valid else None)
+                    rows.append((n, removed, count, sha256(rest).hexdigest()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
     joined = docs.select("doc_id", "text").join(repeated(docs, length), "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(lambda it: batched(it, row, schema), REPORT)
+    return joined.mapInArrow(task, REPORT)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -292,7 +302,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     character that was cut); all other columns as they are."""
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else kept(t, list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([t if s is None else kept(t, s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     held = docs.select(F.col("doc_id"), F.struct("*").alias("row")).join(repeated(docs, length), "doc_id", "left")
     text = cut("row.text", "spans")

@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 Pieces and their scores come from a public model file. A text (normalised by the model's own
-rules) is segmented into the pieces of greatest total score, read from left to right: only
-the last ``longest piece`` positions stay in the window, and as soon as the backpointer paths
-of all of them run through one boundary, the ids before it are committed and forgotten.
+rules) is segmented into the pieces of greatest total score, read from left to right: whenever
+two longest pieces are in the window, the backpointer paths of all boundaries that a further
+piece can start from are followed back, and the ids before the boundary in which they converge
+are committed and forgotten. So the window holds three longest pieces, or more only where the
+paths have not converged.
 Characters that no piece covers become byte pieces if the model has them, else the unknown id.
 
 No piece of such a model holds a word start behind another character, so every word start is
-a boundary of this kind; short words are looked up in a bounded cache of committed ids.
+a boundary of this kind; what the search commits for short words is kept in a bounded cache.
 
-Ids equal those of the library's unigram encoder over the same pieces and scores (tested).
-Defined results: null and empty texts have no ids and decode to the empty text.
+Ids equal those of the library's unigram encoder over the same pieces and scores (tested). The
+file's pieces were learnt by merging, and their scores are merge ranks: the ids are those of
+greatest total score, not those that merging gives. Defined results: null and empty texts have no
+ids and decode to the empty text; repeated rows have equal results, an empty table none, and of
+pieces of equal score the one that starts first wins; other columns are not read.
 """
 
 from __future__ import annotations
@@ -58,94 +63,60 @@ class Pieces:
 
     def search(self, text: str):
         """Ids of ``text``, yielded in the runs in which they are committed."""
-        base, n = 0, len(text)
-        best, back = [0.0], [(-1, None)]  # of the boundaries base, base + 1, ...; None: the unknown id
+        base, n, longest, scores, prefixes, unknown = 0, len(text), self.longest, self.scores, self.prefixes, self.unknown_score
+        width = 2 * longest - 1
+        best: list = [0.0] + [None] * min(n, width + longest)  # of the boundaries base, base + 1, ...
+        back = [0] * len(best)
         for at in range(n):
-            while len(best) <= at + 1 - base:
-                best.append(-np.inf)
-                back.append((-1, None))
-            score, known = best[at - base], False
-            if score > -np.inf:
-                for end in range(at + 1, min(n, at + self.longest) + 1):
-                    piece = text[at:end]
-                    if piece not in self.prefixes:
-                        break
-                    s = self.scores.get(piece)
-                    if s is not None:
-                        known = known or end == at + 1
-                        while len(best) <= end - base:
-                            best.append(-np.inf)
-                            back.append((-1, None))
-                        if score + s > best[end - base]:
-                            best[end - base], back[end - base] = score + s, (at, self.ids[piece])
-                if not known and score + self.unknown_score > best[at + 1 - base]:
-                    best[at + 1 - base], back[at + 1 - base] = score + self.unknown_score, (at, None)
-            self.window = max(self.window, len(best))
-            if at - base >= self.longest:
+            if at - base >= width:
                 # follow every live boundary back; they have converged where one boundary is left
-                live = {at + 1 + k for k in range(len(best) - (at + 1 - base)) if best[at + 1 - base + k] > -np.inf}
+                live = {at + k for k, b in enumerate(best[at - base :]) if b is not None}
                 while len(live) > 1:
-                    live.add(back[max(live) - base][0])
-                    live.discard(max(live))
-                meet = live.pop()
-                if meet > base:
+                    far = max(live)
+                    live.discard(far)
+                    live.add(back[far - base])
+                if (meet := live.pop()) > base:
                     yield self.path(text, base, meet, back)
-                    best, back = best[meet - base :], back[meet - base :]
-                    base = meet
-        if n > base:
-            yield self.path(text, base, n, back)
-
-    def path(self, text: str, base: int, end: int, back: list) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            start, i = back[end - base]
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(text[start:end].encode())]
-            else:
-                out.append(self.unknown)
-            end = start
-        return out[::-1]
-
-    def short(self, word: str) -> list[int]:
-        """The same search over a word of a few windows, held whole: all is committed at its end."""
-        n, ids, scores, prefixes = len(word), self.ids, self.scores, self.prefixes
-        best, back = [0.0] + [None] * n, [0] * (n + 1)
-        for at in range(n):
-            score, end = best[at], at + 1
+                    gone = meet - base
+                    best, back, base = best[gone:], back[gone:], meet
+                room = min(n - base, max(width, at - base) + longest) + 1 - len(best)
+                best += [None] * room
+                back += [0] * room
+                self.window = max(self.window, len(best))
+            score, end = best[at - base], at + 1
             while end <= n:
-                piece = word[at:end]
+                piece = text[at:end]
                 s = scores.get(piece)
                 if s is not None:
-                    b = best[end]
+                    b = best[end - base]
                     if b is None or score + s > b:
-                        best[end], back[end] = score + s, at
+                        best[end - base], back[end - base] = score + s, at
                 elif piece not in prefixes:
                     break
                 end += 1
-            if word[at] not in scores:
-                s, b = score + self.unknown_score, best[at + 1]
+            if text[at] not in scores:
+                s, b = score + unknown, best[at + 1 - base]
                 if b is None or s > b:
-                    best[at + 1], back[at + 1] = s, at
-        out, end = [], n
-        while end:
-            start = back[end]
-            i = ids.get(word[start:end])
+                    best[at + 1 - base], back[at + 1 - base] = s, at
+        if n > base:
+            yield self.path(text, base, n, back)
+
+    def path(self, text: str, base: int, end: int, back: list) -> list[int]:
+        out: list[int] = []
+        while end > base:
+            start = back[end - base]
+            i = self.ids.get(text[start:end])
             if i is not None:
                 out.append(i)
             elif self.bytes:
-                out += [self.bytes[b] for b in reversed(word[start:end].encode())]
+                out += [self.bytes[b] for b in reversed(text[start:end].encode())]
             else:
                 out.append(self.unknown)
             end = start
         return out[::-1]
 
     def packed(self, word: str) -> bytes:
-        if len(word) <= 4 * self.longest:
-            out = array("I", self.short(word)).tobytes()
-        else:
-            out = b"".join([array("I", run).tobytes() for run in self.search(word)])
+        out = b"".join([array("I", run).tobytes() for run in self.search(word)])
         if len(word) < 64:
             if len(self.cache) >= self.most:
                 self.cache.clear()

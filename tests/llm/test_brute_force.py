@@ -386,4 +386,116 @@ def test_cascade_is_exact(spark):
 
     got = {r.key for r in universe.where(cascade.member(F.col("key"))).collect()}
     assert got == set(keys[::9])
-    assert url_cascade.build(listed, universe, max_bits=100) is None
+    few = url_cascade.build(listed, universe, many=3000)
+    assert {r.key for r in universe.where(few.member(F.col("key"))).collect()} == set(keys[::9]) and few.levels[0].bits > 8 * len(keys[::9]) / 2
+
+
+def test_urls_against_plain_rules(spark):
+    r = random.Random(4)
+    rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "b.net/")]
+    rows = []
+    for i in range(400):
+        host = r.choice(["example.com", "www.example.com", "a.www.Example.COM", "b.net", "a.b.net", "ab.net", "notexample.com", "com", "", "x..com"])
+        rows.append((i, r.choice(["http://", "https://", "", "://"]) + host + r.choice(["", "/", "/en/", "/en/a?b", "/es/x#y", "/EN/", "?q=/en/", "//en/"])))
+    rows.append((400, None))
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_cascade.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.lower()
+        fit = [(len(x), v, x) for v, x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])]
+        best = max(fit, default=(0, "allow", None))
+        assert got[i] == (host, path, best[2], best[1]), url
+
+
+def plain_blocks(html):
+    """What stands between block tags, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.hidden = [], [], 0
+
+        def cut(self):
+            if text := " ".join("".join(self.now).split()):
+                self.out.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            self.now.append(" " if tag == "br" else "")
+            if tag in html_blocks.BLOCK:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+            if tag in html_blocks.BLOCK:
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    reader.cut()
+    return reader.out
+
+
+HAND_MADE = [
+    """<html><body><header><h1>The Daily</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>
+    <article><h1>Rain over the hills</h1><p>It has rained &amp; rained for   days, and the river rose to its banks. Nobody had seen that before, people said.</p>
+    <script>var a = "<p>no</p>";</script><p>The dam will hold, says the mayor, who has <b>seen</b> it.</p></article>
+    <section class="comments"><h3>Comments</h3><div class="comment"><p>I was there!</p></div><div class="comment"><p>So was I.</p></div></section>
+    <footer><p>&copy; The Daily</p></footer></body></html>""",
+    """<body><div class="cookie-banner"><p>We use cookies.</p><button>Accept</button></div><div class="ad sponsored">Buy now</div>
+    <main><h1>How bread is made</h1><p>Flour and water are mixed, then left alone for a night, so that the dough can rise.</p><ul><li>flour</li><li>water</li></ul>
+    <p>Bake it hot.</p></main><aside class="sidebar"><h3>Related</h3><ul><li><a href=#>More bread</a></li></ul></aside>
+    <form class="newsletter"><label>Your address</label><input><button>Subscribe</button></form></body>""",
+]
+MAIN_TEXTS = [
+    "Rain over the hills\nIt has rained & rained for days, and the river rose to its banks. Nobody had seen that before, people said.\nThe dam will hold, says the mayor, who has seen it.",
+    "How bread is made\nFlour and water are mixed, then left alone for a night, so that the dough can rise.\nflour\nwater\nBake it hot.",
+]
+
+
+def test_html_blocks_against_a_parser():
+    made = html_blocks.Pages(5)
+    for page in [*HAND_MADE, *(made.page() for _ in range(40))]:
+        assert [b[0] for b in html_blocks.blocks(page)] == plain_blocks(page)
+    odd = "<p>one</p><svg width=1/><p>two</p><iframe src=x><p>three</p><noscript>a<p>b</noscript>c"
+    assert [b[0] for b in html_blocks.blocks(odd)] == ["one", "two", "three", "c"]
+
+
+def test_html_hand_made_pages():
+    net = html_blocks.trained()
+    parsed = [html_blocks.blocks(h) for h in HAND_MADE]
+    assert [html_blocks.main_text(b, p) for b, p in zip(parsed, net.labels(parsed))] == MAIN_TEXTS
+
+
+def test_html_labels_depend_on_all_words():
+    start = "word " * 100
+    a, b = (html_blocks.vectors([(start + end, (), 0.0)]) for end in ("alpha beta", "gamma delt"))
+    assert (a != b).any()
+
+
+def test_packing_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(JSON), bpe_packing.Ids(JSON, RANKS)
+    r = random.Random(12)
+    odd = ["\u00a0", "\u2003", "\u3000", "\u0085", "\x1c", "\u200b", "\ufeff", "\r\n", "\t", " ", "a", "é", "漢", "١", "Ⅷ", "²", "_", "'s", "'", "'ll", ".", "🙂", "\u0301", "\x00"]
+    for _ in range(3000):
+        text = "".join(r.choices(odd, k=r.randint(0, 12)))
+        assert own.of(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_boundaries_are_all_sentence_ends():
+    ends = np.array([False, True, False])
+    positions, costs = bpe_packing.boundaries(np.array([0, 1, 1, 0, 2, 1, 0]), ends, np.array([4, 7]), 16, 2, 64)
+    assert positions.tolist() == [0, 2, 3, 4, 6, 7] and costs.tolist() == [2, 2, 2, 0, 2, 0]
+    positions, costs = bpe_packing.boundaries(np.zeros(10, int), ends, np.array([10]), 4, 2, 64)
+    assert positions.tolist() == list(range(11)) and costs.tolist() == [2] + [64] * 9 + [0]

@@ -8,14 +8,17 @@ value of ``cost[i] + position[i]`` over the boundaries within reach is kept in a
 queue, and each power of two is one more transition.
 
 Each task packs the rows of its own split as they stream by; chunks of a bounded number of
-ids are packed at a time, and a chunk's last window is carried into the next chunk.
+ids are packed at a time, and a chunk's last window is carried into the next chunk. The cost is
+the least for a chunk, so that the cuts, but never the ids, depend on how the input is split.
 
 Ids come from the byte-level BPE vocabulary named in the parameters. Without two white-space
 characters in a row a simpler pattern without look-ahead cuts a text into the same words, and
 faster; texts that hold a special token's string go to the ``tokenizers`` library, whose ids
 all of these equal (tests compare them).
 
-Defined results: a null or empty text is the single id 0. Repeated rows are packed each.
+Defined results: a null or empty text is the single id 0. Repeated rows are packed each, an empty
+table has no pieces, of equal costs the cut that leaves the longer window wins, and columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+SENTENCE_ENDS = tuple(x.encode() for x in ".!?\n。！？؟।…")  # fixed values
 TWO_SPACES = re.compile(r"\s\s")
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
@@ -47,7 +51,7 @@ class Ids:
         self.json, self.library = json, None
         self.ends = np.zeros(max(table.values()) + 2, bool)  # of a sentence
         for piece, i in table.items():
-            self.ends[i] = piece.rstrip(b"\"')").endswith((b".", b"!", b"?", b"\n"))
+            self.ends[i] = piece.rstrip(b"\"')").endswith(SENTENCE_ENDS)
 
     def of(self, text: str) -> np.ndarray:
         if "<|endoftext|>" in text:
@@ -96,16 +100,12 @@ def cuts(positions: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
     return out[::-1]
 
 
-def boundaries(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, window: int, sentence_cost: int, hard_cost: int, apart: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and costs of the places where windows may be cut: document ends, sentence ends
-    at least ``apart`` ids from one another and, in long sentences, places at even distances."""
-    at = np.flatnonzero(ends[ids]) + 1
-    at = at[np.append(True, at[1:] // apart != at[:-1] // apart)] if len(at) else at
-    known = np.unique(np.concatenate([[0], at, doc_ends]))
-    step = window // 4
-    gaps = np.diff(known)
-    long = np.flatnonzero(gaps > window // 2)
-    hard = np.concatenate([np.arange(known[i] + step, known[i + 1], step) for i in long]) if len(long) else np.zeros(0, np.int64)
+def boundaries(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, window: int, sentence_cost: int, hard_cost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and costs of the places where windows may be cut: all document ends, all sentence
+    ends and, in sentences longer than a window, every place."""
+    known = np.unique(np.concatenate([[0], np.flatnonzero(ends[ids]) + 1, doc_ends]))
+    long = np.flatnonzero(np.diff(known) > window)
+    hard = np.concatenate([np.arange(known[i] + 1, known[i + 1]) for i in long]) if len(long) else np.zeros(0, np.int64)
     positions = np.concatenate([known, hard])
     costs = np.concatenate([np.where(np.isin(known, doc_ends), 0, sentence_cost), np.full(len(hard), hard_cost)])
     order = np.argsort(positions, kind="stable")

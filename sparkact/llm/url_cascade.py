@@ -5,20 +5,23 @@ last that the last one lets through wrongly. Odd levels hold listed keys, even l
 keys of the corpus that are not listed. Levels are added until none of either kind is let
 through wrongly, so that over the corpus's complete key universe the first level that
 rejects a key tells its membership exactly (rejected by an odd level: not listed), without
-a join at probing time.
+a join at probing time. The first level has as many bits a key as make the keys that it lets
+through wrongly about as many as the listed ones, whatever the universe's size; so all levels
+together are smaller than the list itself, which the driver holds.
 
 Keys of a url: every suffix of its host (cut at dots) followed by every prefix of its path
 whose length is that of some rule's path.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and
-the verdict ``allow``. Repeated rows are judged one by one. Empty tables give empty results.
-An empty list, or one whose filters exceed ``max_bits``, is handled too: the first rejects
-everything, the second falls back to a shuffled semi join with the same result.
+the verdict ``allow``. Repeated rows are judged one by one. Empty tables give empty results. An
+empty list rejects everything. Of equally long fitting rules, which are equal, ``block`` wins.
+Extra columns stay, but those named host, path, rule or verdict give way to the results.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +66,9 @@ def passes(key: Column, level: Level, number: int) -> Column:
     return out
 
 
-def encode(keys: DataFrame, count: int, number: int, bits_per_key: int, hashes: int) -> Level:
-    """One level over the distinct ``keys`` (column ``key``); only its words reach the driver,
-    and their number is bounded by ``max_bits`` of :func:`build`."""
-    bits = max(64, -(-count * bits_per_key // 64) * 64)
+def encode(keys: DataFrame, count: int, number: int, bits_per_key: float, hashes: int) -> Level:
+    """One level over the ``count`` distinct ``keys`` (column ``key``); its words reach the driver."""
+    bits = max(64, ceil(count * bits_per_key / 64) * 64)
     rows = (
         keys.select(F.explode(F.array(*bit_positions(F.col("key"), number, bits, hashes))).alias("p"))
         .groupBy(F.floor(F.col("p") / 64).alias("w"))
@@ -79,25 +81,23 @@ def encode(keys: DataFrame, count: int, number: int, bits_per_key: int, hashes:
     return Level(bits, hashes, words)
 
 
-def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8, hashes: int = 3, max_bits: int = 8_000_000) -> Cascade | None:
+def build(listed: DataFrame, universe: DataFrame, bits_per_key: float = 8, hashes: int = 3, many: int = 0) -> Cascade:
     """A cascade telling ``listed`` keys from the others in ``universe`` (both with a column
-    ``key``). None if a level would exceed ``max_bits`` (1 MB by default)."""
+    ``key``). ``many``: about how many keys the universe has; the first level gets more bits and
+    hashes than the others if these would let through more keys than are listed."""
     inside = listed.select("key").where("key is not null").distinct()
-    cascade, sides = Cascade(), [inside.withColumn("is_listed", F.lit(1))]
-    total = inside.count()
-    if not total:
-        return cascade
+    cascade, total = Cascade(), inside.count()
+    need = log2(max(2, many / max(1, total)))
+    first = (max(bits_per_key, need / log(2)), max(hashes, ceil(need)) if need / log(2) > bits_per_key else hashes)
     # Level 1 meets the whole universe once; what it lets through wrongly is small from there on.
     count, held, other = total, inside, None
     while count:
         number = len(cascade.levels) + 1
-        if count * bits_per_key > max_bits:
-            return None
-        level = encode(held, count, number, bits_per_key, hashes)
+        level = encode(held, count, number, *(first if number == 1 else (bits_per_key, hashes)))
         cascade.levels.append(level)
         if number == 1:
             let_in = universe.where("key is not null").where(passes(F.col("key"), level, 1)).select("key", F.lit(0).alias("is_listed"))
-            other = written(let_in.unionByName(sides[0]).groupBy("key").agg(F.max("is_listed").alias("is_listed")).where("is_listed = 0").select("key"), "cascade")
+            other = written(let_in.unionByName(inside.withColumn("is_listed", F.lit(1))).groupBy("key").agg(F.max("is_listed").alias("is_listed")).where("is_listed = 0").select("key"), "cascade")
             held, other = other, held
         else:
             held, other = other.where(passes(F.col("key"), level, number)), held
@@ -105,45 +105,35 @@ def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8, hashes:
     return cascade
 
 
+RESULTS = ("host", "path", "rule", "verdict")
+
+
 def judged(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url", **options) -> DataFrame:
     """``urls`` with host, path, rule and verdict. ``rules``: (allow or block, host followed by
     a path that starts with a slash); the longest fitting rule wins."""
-    spark = urls.sparkSession
-    after = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
-    host = F.regexp_extract(F.col("_after"), r"^([^/?#]*)", 1)
-    path = F.regexp_extract(F.col("_after"), r"^[^/?#]*([^?#]*)", 1)
-    parsed = urls.withColumn("_after", F.coalesce(after, F.lit(""))).withColumn("host", F.translate(host, UPPER, LOWER)).withColumn("path", path).drop("_after")
+    text = F.col("row").getField(url)
+    after = F.when(F.instr(text, "://") > 0, F.substring(text, F.instr(text, "://") + 3, F.length(text))).otherwise(F.lit(""))
+    host = F.regexp_extract(F.col("after"), r"^([^/?#]*)", 1)
+    path = F.regexp_extract(F.col("after"), r"^[^/?#]*([^?#]*)", 1)
+    parsed = urls.select(F.struct("*").alias("row")).withColumn("after", F.coalesce(after, F.lit(""))).select("row", F.translate(host, UPPER, LOWER).alias("host"), path.alias("path"))
     lengths = sorted({len(r) - r.index("/") for _, r in rules})
-    if not lengths:
-        return parsed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow"))
     parts = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    keyed = parsed.withColumn("_keys", keys)
-    universe = keyed.select(F.explode("_keys").alias("key"))
-    fitting = []
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))) if lengths else F.array().cast("array<string>")
+    keyed = parsed.withColumn("keys", keys)
+    universe, many = keyed.select(F.explode("keys").alias("key")), 4 * len(lengths) * urls.count()
+    fitting = [F.array().cast("array<struct<n: int, verdict: string, rule: string>>")]
     for verdict in ("allow", "block"):
-        listed = spark.createDataFrame([(r,) for v, r in rules if v == verdict], "key string")
-        cascade = build(listed, universe, **options)
-        if cascade is None:
-            return joined(keyed, rules)
-        fitting.append(fits(F.col("_keys"), cascade, verdict))
-    best = F.array_max(F.concat(*fitting))
-    return keyed.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit("allow"))).drop("_keys", "_best")
+        own = [F.lit(r) for v, r in rules if v == verdict]
+        if own:
+            listed = urls.sparkSession.range(1).select(F.explode(F.array(*own)).alias("key"))
+            fitting.append(fits(F.col("keys"), build(listed, universe, many=many, **options), verdict))
+    judged_ = keyed.withColumn("best", F.array_max(F.concat(*fitting)))
+    kept = [F.col("row").getField(n).alias(n) for n in urls.columns if n not in RESULTS]
+    return judged_.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def fits(keys: Column, cascade: Cascade, verdict: str) -> Column:
-    """The listed ones of ``keys``, as (length, rule, verdict)."""
-    return F.transform(F.filter(keys, cascade.member), lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(verdict).alias("verdict")))
-
-
-def joined(keyed: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """The way for lists whose filters are too large to be a constant: a shuffled join."""
-    listed = keyed.sparkSession.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
-    row = written(keyed.withColumn("_id", F.monotonically_increasing_id()), "urls")
-    best = (
-        row.select("_id", F.explode("_keys").alias("rule")).join(listed, "rule")
-        .groupBy("_id").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("_best"))
-    )
-    return row.join(best, "_id", "left").withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit("allow"))).drop("_id", "_keys", "_best")
+    """The listed ones of ``keys``, as (length, verdict, rule)."""
+    return F.transform(F.filter(keys, cascade.member), lambda k: F.struct(F.length(k).alias("n"), F.lit(verdict).alias("verdict"), k.alias("rule")))

@@ -10,13 +10,19 @@ kinds of mark-up, among menus, headers, footers, side bars, notices, adverts, fo
 comments, with invented words. No page of the corpus is needed for it.
 
 Character references are decoded, white space inside a block becomes one space, and the main
-blocks are joined by newlines. Scripts, styles and comments of the mark-up are no text.
-Defined results: null and empty pages, and pages without main text, have an empty text.
+blocks are joined by newlines. Scripts, styles and comments of the mark-up are no text, up to
+their ends or, without one, the page's. Neither is what stands inside embedded objects, drawings
+and ``noscript``, which browsers that run scripts don't show; without an end, or closed in
+itself, such an element has no inside.
+Defined results: null and empty pages, and pages without main text, have an empty text; repeated
+rows have equal texts, an empty table none; a block of which the network is undecided is main
+text; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from math import log1p
 from zlib import crc32
@@ -28,12 +34,12 @@ from pyspark.sql import DataFrame
 # Elements of HTML by how they are read.
 BLOCK = set("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = "script|style|noscript|template|svg|iframe|object|math|audio|video|canvas"
+CODE, NO_TEXT = "script|style", "noscript|template|svg|iframe|object|math|audio|video|canvas"
 CLOSES_P = BLOCK - set("body html head title button label option select".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{NO_TEXT})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{CODE})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<other>{NO_TEXT})\b(?:[^>]*/>|[^>]*>.*?</(?P=other)\s*>|[^>]*>)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
     re.S | re.I,
 )
 NAMES = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -102,6 +108,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[int, ...], float]]:
     return out
 
 
+@lru_cache(200_000)
 def hash_word(w: str) -> int:
     return PATH_DIM + crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIM
 
@@ -110,12 +117,13 @@ def sparse(page: list[tuple[str, tuple[int, ...], float]]) -> tuple[list[int], l
     """(features, values, number of features of each block) of a page."""
     n, cols, vals, sizes = len(page), [], [], []
     for k, (text, path, links) in enumerate(page):
-        words = text[:240].lower().split()[:24]
-        share = 1 / max(1, len(words))
+        words = text.lower().split()
+        counts = np.bincount([*map(hash_word, words)], minlength=PATH_DIM + WORD_DIM)[PATH_DIM:]
+        there = np.flatnonzero(counts)
         marks = sum(map(text.count, ".,;:!?"))
-        own = [*dict.fromkeys(path), *map(hash_word, words), *range(DIM - MEASURES, DIM)]
+        own = [*dict.fromkeys(path), *(there + PATH_DIM).tolist(), *range(DIM - MEASURES, DIM)]
         cols += own
-        vals += [1.0] * (len(own) - MEASURES - len(words)) + [share] * len(words)
+        vals += [1.0] * (len(own) - MEASURES - len(there)) + (counts[there] / len(words)).tolist()
         vals += (log1p(len(text)) / 8, links, min(1.0, 10 * marks / len(text)), k / n, len(path) / 16, 1.0)
         sizes.append(len(own))
     return cols, vals, sizes
@@ -279,7 +287,7 @@ class Pages:
 
     def marked(self, main: bool, text: str) -> str:
         """The text behind a mark that :func:`labelled` takes off again."""
-        return ("" if main else "") + text
+        return (MAIN if main else OTHER) + text
 
     def part(self, kind: str) -> str:
         r, tag = self.r, self.pick(*TAGS[kind])
@@ -337,8 +345,8 @@ class Pages:
 
 def labelled(html: str) -> tuple[np.ndarray, np.ndarray]:
     page = blocks(html)
-    y = np.array([b[0].startswith("") for b in page], np.float32)
-    return vectors([(b[0].replace("", "").replace("", "") or "-", b[1], b[2]) for b in page]), y
+    y = np.array([b[0].startswith(MAIN) for b in page], np.float32)
+    return vectors([(b[0].replace(MAIN, "").replace(OTHER, "") or "-", b[1], b[2]) for b in page]), y
 
 
 def trained(pages: int = 1600, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Network:

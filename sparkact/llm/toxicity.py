@@ -8,13 +8,15 @@ before it and swapped likewise. A term's weight thus falls to what the text's ot
 leave unexplained, so that a neutral mention of a group moves no score.
 
 Scores depend on the text alone. Defined results: null and empty texts get the score of a text
-without words, the model's base rate; repeated words count once; ties don't arise, as the
-sample is ordered by a hash and doc_id.
+without words, the model's base rate; repeated words count once, repeated rows get equal scores.
+Of several labels of one doc_id the larger counts, of several texts the first in order. Without
+labelled texts every score is a half. Extra columns stay as they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +92,20 @@ def fit(texts: list[str | None], labels: list[int], least: int = 3, most: int =
     """Full-batch Adam; features in fewer than ``least`` sample texts are left out, and the
     ``most`` that tell the labels apart best are kept. A text's words are held only while they
     are numbered."""
-    if not texts:
-        return Model({}, 0.0)
-    known, sides = Features(), ([], [], [])
+    return fitted(zip(texts, labels, strict=True), least, most, swap_penalty, ridge, rounds, rate)
+
+
+def fitted(rows: Iterable[tuple[str | None, int]], least: int = 3, most: int = 3_000, swap_penalty: float = 4.0, ridge: float = 1e-5, rounds: int = 250, rate: float = 0.1) -> Model:
+    """:func:`fit` of (text, label) as they come, of which none is kept."""
+    known, sides, labels = Features(), ([], [], []), []
     known.of(set(TERMS))
-    for i, text in enumerate(texts):
+    for i, (text, label) in enumerate(rows):
+        labels.append(label)
         words = words_of(text)
         for side, bag in zip(sides, (words, *swapped(words, i)), strict=True):
             side.append(known.of(bag))
+    if not labels:
+        return Model({}, 0.0)
     y = np.array(labels, float)
     share = (y.sum() + 1) / (len(y) + 2)
     every, size = np.concatenate(sides[0]), len(known.number)
@@ -156,10 +164,9 @@ def is_held_out(doc_id: Column) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """A model of at most ``sample`` labelled texts, those of the smallest hash of doc_id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out(F.col("doc_id")))
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return fitted((r["text"], r["toxic"]) for r in rows.orderBy("doc_id").toLocalIterator())
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -15,7 +15,7 @@ def overlap(start: Column, end: Column, lo, hi) -> Column:
 
 
 def clipped(df: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Records that overlap [lo, hi), cut to it. ``end_ts > lo`` reaches the scan."""
+    """Records that overlap [lo, hi), cut to it; see ``since`` of sources.tables.activities."""
     inside = df.where((F.col("end_ts") > lo) & (F.col("start_ts") < hi))
     return inside.withColumn("s", F.greatest("start_ts", F.lit(lo))).withColumn("e", F.least("end_ts", F.lit(hi)))
 

@@ -47,12 +47,19 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_lines(text: Column, least: int = 2) -> Column:
     """Recognised text without odd characters, short lines and repeated lines (any case)."""
     plain = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}\n .,;:!?'()/-]", ""), r"[ ]+", " ")
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
-    lowered = F.transform(lines, lambda x: F.lower(x))
-    return F.array_join(F.filter(lines, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1), "\n")
+    placed = F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x")))
+    first = lambda ls: F.filter(ls, lambda s, i: (i == 0) | (s["low"] != F.get(ls, i - 1)["low"]))
+    kept = once(F.array_sort(placed), lambda ls: F.array_sort(F.transform(first(ls), lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))))
+    return F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
 
 
 def quality_gate(text: Column, cleaned: Column) -> Column:

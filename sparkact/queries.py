@@ -61,22 +61,22 @@ TIMELINE = f"""WITH {ACTS}, cut AS (SELECT *, greatest(start_ts, {LO}) AS s, lea
 
 @query(TIMELINE)
 def timeline(spark, d):
-    return act.timeline(activities(spark, d), LO, HI)
+    return act.timeline(activities(spark, d, since=LO + 1), LO, HI)
 
 
 @query(TIMELINE + " ORDER BY end_ts DESC, id DESC LIMIT 20 OFFSET 10")
 def timeline_page(spark, d):
-    return act.page(act.timeline(activities(spark, d), LO, HI), [F.desc("end_ts"), F.desc("id")], 10, 20)
+    return act.page(act.timeline(activities(spark, d, since=LO + 1), LO, HI), [F.desc("end_ts"), F.desc("id")], 10, 20)
 
 
 @query(f"WITH {ACTS} SELECT id, end_ts, app FROM acts WHERE (end_ts, id) > ({LO}, 0) ORDER BY end_ts, id LIMIT 50")
 def keyset_page(spark, d):
-    return act.after(activities(spark, d), (LO, 0), 50).select("id", "end_ts", "app")
+    return act.after(activities(spark, d, since=LO), (LO, 0), 50).select("id", "end_ts", "app")
 
 
 @query(f"WITH {ACTS} SELECT id, end_ts, app, duration FROM acts WHERE end_ts >= {LO} AND end_ts < {HI} ORDER BY end_ts, id LIMIT 1000")
 def range_scan(spark, d):
-    return activities(spark, d).where((F.col("end_ts") >= LO) & (F.col("end_ts") < HI)).orderBy("end_ts", "id").limit(1000).select("id", "end_ts", "app", "duration")
+    return activities(spark, d, LO, HI).orderBy("end_ts", "id").limit(1000).select("id", "end_ts", "app", "duration")
 
 
 @query(f"WITH {ACTS} SELECT * FROM acts WHERE id = 42")
@@ -86,7 +86,7 @@ def point_lookup(spark, d):
 
 @query(f"WITH {ACTS} SELECT id, greatest(start_ts, {LO}) AS s, least(end_ts, {LO} + 86400) AS e FROM acts WHERE end_ts > {LO} AND start_ts < {LO} + 86400")
 def clip_day(spark, d):
-    return clipped(activities(spark, d), LO, LO + 86400).select("id", "s", "e")
+    return clipped(activities(spark, d, since=LO + 1), LO, LO + 86400).select("id", "s", "e")
 
 
 @query(f"WITH {ACTS}, {DAYS} SELECT day, sum(e - s)::BIGINT AS seconds, count(DISTINCT owner) AS owners FROM days GROUP BY day")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ def category_of(app: Column) -> Column:
     return out.otherwise("other")
 
 
-def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval records: [start_ts, end_ts) in epoch seconds, stamped at their end."""
+def activities(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Interval records: [start_ts, end_ts) in epoch seconds, stamped at their end. Bounds of
+    end_ts (``since`` is inside, ``until`` not) reach the scan as filters on its column."""
     e = read(spark, sf_dir, "events")
+    for bound, op in ((since, ">="), (until, "<")):
+        if bound is not None:
+            at = datetime.fromtimestamp(bound, UTC).strftime("%Y-%m-%d %H:%M:%S")
+            e = e.where(f"ts {op} timestamp_ntz'{at}'")
     app = F.col("event_type")
     url = F.when(app.isin(*BROWSERS), F.concat(F.lit("https://site"), F.pmod("user_id", F.lit(7)), F.lit(".example.org/"), app, F.lit("/")))
     return e.select(

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from sparkact import queries as own
+from sparkact import report_queries  # noqa: F401  adds its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

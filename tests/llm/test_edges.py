@@ -32,7 +32,10 @@ OPERATORS = {
 def docs(spark, rows):
     """Documents with extra columns whose names the operators use themselves."""
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    return d.withColumns({"spans": F.lit(1), "flags": F.lit("x"), "n": F.lit(2), "label": F.lit("y"), "kind": F.lit(3), "id": F.lit(4), "component": F.lit(5), "token": F.lit(6), "bucket": F.lit(7)})
+    return d.withColumns({"spans": F.lit(1), "flags": F.lit("x"), "n": F.lit(2), "label": F.lit("y"), "kind": F.lit(3), "id": F.lit(4), "component": F.lit(5), "token": F.lit(6), "bucket": F.lit(7)} | {c: F.lit(c) for c in CLASHING})
+
+
+CLASHING = ["_flags", "_doc", "_gone", "_spans", "_near", "_lines", "_removed", "row", "d", "p", "ps", "late", "kept", "done", "a.b", "score", "host"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -48,9 +51,41 @@ def test_empty_table(spark, name):
 
 def test_kept_columns(spark):
     d = docs(spark, ROWS)
-    for name in ("one_of_each", "passages", "accepted"):
-        assert OPERATORS[name](d).columns == d.columns
-    assert OPERATORS["lines"](d).columns[: len(d.columns)] != [] and {*d.columns} - {"flags"} <= {*OPERATORS["lines"](d).columns}
+    for name in ("one_of_each", "passages", "accepted", "lines"):
+        found = OPERATORS[name](d)
+        assert found.columns == d.columns
+        for r in found.collect():
+            assert [r[c] for c in CLASHING] == CLASHING and (r["spans"], r["flags"], r["n"], r["id"]) == (1, "x", 2, 4)
+
+
+def test_values_of_edge_rows(spark):
+    """Null, empty and short texts, repeated rows and a row without a doc_id."""
+    d = docs(spark, ROWS)
+    texts = sorted((r.doc_id or 0, r.text or "") for r in OPERATORS["lines"](d).collect())
+    assert texts == sorted((i or 0, t if i != 2 and t else "") for i, t in ROWS)
+    report = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in OPERATORS["passage_report"](d).collect()}
+    size = len(LONG.encode())
+    assert {(1, size, 0, 0), (2, size, size, 1), (3, 0, 0, 0), (4, 0, 0, 0), (5, 3, 0, 0), (9, 5000, 0, 0), (None, 17, 0, 0)} <= report
+    stored = {(r.doc_id, r.n_bytes, r.payload_bytes) for r in OPERATORS["media"](d).collect()}
+    assert {(3, 0, 64), (4, 0, 64), (5, 3, 64), (9, 5000, 5056), (2, size, -(-size // 64) * 64)} <= stored
+    pieces = [r for r in OPERATORS["packing"](d).collect() if r.doc_id in (3, 4)]
+    assert sorted((r.doc_id, r.start, r.length, r.doc_tokens) for r in pieces) == [(3, 0, 1, 1), (4, 0, 1, 1)]
+    scores = {r.doc_id: r.score for r in OPERATORS["toxic"](d).collect()}
+    assert scores[3] == scores[4] == scores[7] and scores[1] == scores[2]
+    trips = {(r.doc_id, r.n_ids, r.round_trip) for r in OPERATORS["sentencepiece"](d).collect()}
+    assert {(3, 0, True), (4, 0, True)} <= trips and all(t[2] for t in trips)
+    classes = {(r.doc_id, r.n_shingles, r.component_id) for r in OPERATORS["ngrams"](d).collect()}
+    assert {(3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 6), (7, 0, 7)} <= classes and {c[2] for c in classes if c[0] in (1, 2)} == {1}
+    prints = {(r.doc_id, r.n_chars, r.fingerprint) for r in OPERATORS["fingerprints"](d).collect()}
+    assert len({f for i, _, f in prints if i in (1, 2)}) == 1 and {n for i, n, _ in prints if i in (3, 4)} == {0}
+
+
+def test_several_labels_of_one_document(spark):
+    d = spark.createDataFrame([(i, "you idiot" if i % 2 else "a fine day") for i in range(40)] + [(1, "a other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (3, 0)], "doc_id long, toxic int")
+    one, two = (toxicity.trained(x, y) for x, y in ((d, labels), (d.repartition(3), labels.repartition(4))))
+    assert one.weights == two.weights and one.score("idiot") > one.score("fine")
+    assert {*d.columns} - {"flags"} <= {*OPERATORS["lines"](d).columns}
 
 
 def test_one_of_each_keeps_clean(spark):

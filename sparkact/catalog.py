@@ -1,12 +1,17 @@
-"""Versioned Parquet folders: a version is written whole, checked, and then made current by
-renaming a small pointer file. Readers stay on the version that they opened."""
+"""Versioned Parquet folders: a version is written whole to a folder of its own, checked, and
+made current by creating a small pointer file that names the folder. Readers stay on the version
+that they opened."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkact.operators.messages import winners
+
 
 class Catalog:
     def __init__(self, spark: SparkSession, path: str):
@@ -18,34 +23,54 @@ class Catalog:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def current(self) -> int:
-        """The current version; 0 if there is none."""
+        """The current version; 0 if there is none. A pointer without content (its writer is at
+        work, or died) doesn't count."""
         if not self.fs.exists(self._path("")):
             return 0
-        found = [int(s.getPath().getName().removeprefix("current-")) for s in self.fs.listStatus(self._path("")) if s.getPath().getName().startswith("current-")]
+        found = [int(s.getPath().getName().removeprefix("current-")) for s in self.fs.listStatus(self._path("")) if s.getPath().getName().startswith("current-") and s.getLen()]
         return max(found, default=0)
 
     def read(self, version: int | None = None) -> DataFrame:
         version = self.current() if version is None else version
         if not version:
             raise LookupError(f"{self.path} has no version yet")
-        return self.spark.read.parquet(f"{self.path}/v{version}")
+        pointer = self.fs.open(self._path(f"current-{version}"))
+        try:
+            folder = bytes(pointer.readAllBytes()).decode()
+        finally:
+            pointer.close()
+        return self.spark.read.parquet(f"{self.path}/{folder}")
 
     def publish(self, df: DataFrame, version: int, check: Callable[[DataFrame], bool] | None = None) -> int:
-        """Write ``df`` as ``version`` and make it current. Of two writers of one version the
-        second fails; a version that is current already is left as it is."""
+        """Write ``df`` as ``version`` and make it current. Of two writers of one version, each
+        with its own folder, the second to finish fails; a version that is current already is
+        left as it is."""
         if version <= self.current():
             return self.current()
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        if check and not check(self.spark.read.parquet(f"{self.path}/v{version}")):
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        if check and not check(self.spark.read.parquet(f"{self.path}/{folder}")):
             raise ValueError(f"version {version} failed its check")
-        if not self.fs.createNewFile(self._path(f"current-{version}")):
-            raise RuntimeError(f"version {version} was published meanwhile")
+        pointer = self._path(f"current-{version}")
+        try:
+            out = self.fs.create(pointer, False)
+        except Py4JJavaError:
+            if not self.fs.exists(pointer):
+                raise
+            raise RuntimeError(f"version {version} was published meanwhile") from None
+        try:
+            out.write(bytearray(folder.encode()))
+        finally:
+            out.close()
         return version
 
-    def upsert(self, new: DataFrame, keys: list[str], version: int) -> int:
-        """The current rows with those of ``new`` in the place of rows of equal keys."""
+    def upsert(self, new: DataFrame, keys: list[str], version: int, latest: Sequence[str] = ()) -> int:
+        """The current rows with those of ``new`` in the place of rows of equal keys. Of rows of
+        ``new`` with equal keys the greatest stays, by the columns ``latest``, then by the others."""
         if version <= self.current():
             return self.current()
+        others = [c for c in new.columns if c not in keys]
+        new = winners(new, keys, list(latest), others).select(*new.columns) if others else new.distinct()
         if self.current():
             old = self.read()
             new = new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))

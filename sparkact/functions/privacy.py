@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkact.functions import text as tx
+from sparkact.functions.names import fresh
 
 
 def ignored(app: Column, rules: list[str]) -> Column:
@@ -31,8 +32,9 @@ def action(app: Column, title: Column, url: Column, app_rules: list[tuple[str, s
 def applied(df: DataFrame, what: Column, hidden: list[str], placeholder: dict[str, str] | None = None) -> DataFrame:
     """Rows that aren't skipped; of anonymized ones the ``hidden`` columns are null or a placeholder."""
     placeholder = placeholder or {}
-    kept = df.withColumn("_action", what).where("_action <> 'skip'")
-    return kept.withColumns({c: F.when(F.col("_action") == "anonymize", F.lit(placeholder.get(c)).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in hidden}).drop("_action")
+    act = fresh("_action", df)
+    kept = df.withColumn(act, what).where(F.col(act) != "skip")
+    return kept.withColumns({c: F.when(F.col(act) == "anonymize", F.lit(placeholder.get(c)).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in hidden}).drop(act)
 
 
 def shown_to_others(df: DataFrame, dropped: list[str], title: str, n: int = 40) -> DataFrame:

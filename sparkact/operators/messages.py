@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkact.functions import text as tx
+from sparkact.functions.names import fresh
 
 
 def versions(messages: DataFrame, identity: list[str]) -> DataFrame:
@@ -23,8 +24,9 @@ def versions(messages: DataFrame, identity: list[str]) -> DataFrame:
 
 def winners(rows: DataFrame, identity: list[str], precedence: list[str], payload: list[str]) -> DataFrame:
     """The row of greatest precedence by identity; later names decide ties."""
-    best = rows.groupBy(*identity).agg(F.max(F.struct(*precedence, *[c for c in payload if c not in precedence])).alias("b"))
-    return best.select(*identity, *[F.col(f"b.{c}").alias(c) for c in payload])
+    row = fresh("_row", rows)
+    best = rows.groupBy(*identity).agg(F.max(F.struct(*precedence, *[c for c in payload if c not in precedence])).alias(row))
+    return best.select(*identity, *[F.col(row)[c].alias(c) for c in payload])
 
 
 def allowed(rows: DataFrame, denials: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,9 +52,10 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Upsert: of rows with equal keys the one of the greatest version, new before old."""
-    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+    side, place = fresh("_new", old, new), fresh("_rn", old, new)
+    rows = old.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)))
+    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc(side))
+    return rows.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place, side)
 
 
 def carried_over(parent: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,18 +9,19 @@ from pyspark.sql.window import Window
 
 from sparkact.functions import text as tx
 from sparkact.functions import vectors as vec
+from sparkact.functions.names import fresh
 
 RRF = 60
 
 
 def keyword_scores(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """45 points for a word that equals a term, 20 for one that only contains it."""
-    words = tx.pretokens(F.col(text))
+    words = fresh("_w", docs)
     score = F.lit(0)
     for t in terms:
-        hit = F.when(F.array_contains("_w", t), 45).when(F.contains(F.lower(F.col(text)), F.lit(t)), 20).otherwise(0)
+        hit = F.when(F.array_contains(words, t), 45).when(F.contains(F.lower(F.col(text)), F.lit(t)), 20).otherwise(0)
         score = score + hit
-    return docs.withColumn("_w", words).withColumn("score", score).drop("_w").where("score > 0")
+    return docs.withColumn(words, tx.pretokens(F.col(text))).withColumn("score", score).drop(words).where("score > 0")
 
 
 def matches_any(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkact.catalog import Catalog
 from sparkact.functions import text as tx
@@ -67,6 +68,28 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(ValueError):
         c.publish(rows, 3, lambda df: False)
     assert c.current() == 2
+    twice = spark.createDataFrame([(3, "x"), (3, "z"), (3, "y")], "k int, v string")
+    c.upsert(twice, ["k"], 3)
+    assert sorted(map(tuple, c.read().collect())) == [(1, "a"), (2, "c"), (3, "z")]
+
+
+def test_second_writer_of_a_version_leaves_the_first_ones_rows(spark, tmp_path):
+    a, b = (Catalog(spark, str(tmp_path / "t")) for _ in range(2))
+    first, second = (spark.createDataFrame([(x,)], "v string") for x in "ab")
+    with pytest.raises(RuntimeError):
+        a.publish(first, 1, lambda df: bool(b.publish(second, 1)))
+    assert [r.v for r in a.read().collect()] == ["b"]
+
+
+def test_helper_columns_do_not_clash(spark):
+    from sparkact.functions import privacy
+    from sparkact.operators import messages, retrieval
+
+    a = spark.createDataFrame([(1, "x", "x", "x y", 5)], "_row int, _action string, _w string, text string, _new int")
+    assert retrieval.keyword_scores(a, ["y"]).select("_w", "score").collect() == [("x", 45)]
+    assert privacy.applied(a, F.lit("record"), ["text"]).collect() == a.collect()
+    assert messages.latest_wins(a, a, ["text"], "_new").collect() == a.collect()
+    assert messages.winners(a, ["_row"], ["_new"], ["_w"]).collect() == [(1, "x")]
 
 
 def test_pipeline(spark):
@@ -82,8 +105,6 @@ def test_pipeline(spark):
 
 
 def test_text_functions(spark):
-    from pyspark.sql import functions as F
-
     one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x"))).first()[0]
     assert one(tx.redacted, "mail a.b@c.org card 4111111111111111 ip 10.0.0.1") == "mail [email] card [card] ip [ip]"
     assert one(tx.html_text, "<p>a &amp; b</p><script>x</script><p>c</p>").strip() == "a & b\nc"
@@ -111,6 +132,21 @@ def test_stream_of_runs(spark, tmp_path):
     assert sorted((r.app, r.seconds, r.end_ts, r.n) for r in spark.sql("SELECT * FROM runs").collect()) == [("x", 30, 200, 2), ("y", 5, 300, 1)]
 
 
+def test_late_records_and_last_runs(spark, tmp_path):
+    schema = "owner long, id long, app string, duration long, end_ts long"
+    batches = [[(1, 1, "x", 10, 1000), (1, 2, "y", 10, 1300), (2, 5, "z", 7, 1200)], [(1, 3, "x", 20, 1100), (1, 4, "y", 30, 1400)], [(3, 9, "w", 1, 9000)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"{i}"))
+    (tmp_path / "in").mkdir()
+    q = windows.merged(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    for i in range(len(batches)):
+        for part in (tmp_path / f"{i}").glob("part-*"):
+            part.rename(tmp_path / "in" / f"{i}-{part.name}")
+        q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.sql("SELECT * FROM late").collect())) == [(1, "x", 30, 1100, 2), (1, "y", 40, 1400, 2), (2, "z", 7, 1200, 1)]
+
+
 def test_nothing_else_imports_the_llm_package():
     from pathlib import Path
 

@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators.
 
 Nothing here is machine-local: intermediate tables go to the shared folder that the
-session names in ``spark.checkpoint.dir`` (an own folder only where that is unset).
+session names in ``spark.checkpoint.dir`` (an own folder only on a local master without it).
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share; one of its own on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or "/tmp/checkpoints").rstrip("/")
 
 

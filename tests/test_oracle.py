@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from sparkact import queries as own
-from sparkact import record_queries, report_queries, search_queries  # noqa: F401  add their queries
+from sparkact import record_queries, report_queries, rule_queries, search_queries  # noqa: F401  add their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -21,8 +21,10 @@ each time it sends, and neither gathers in one task. Refined identifiers are 64-
 pair has 96 bits or more.
 
 Defined results: a null text counts as empty, and a text shorter than ``length`` is kept; rows
-without a doc_id are kept whole and remove nothing; rows of one doc_id are copies of one
-document, which don't remove one another's bytes.
+without a doc_id are kept whole and remove nothing; rows of one doc_id, copies or with texts of
+their own, are one document, whose rows don't remove one another's bytes; their different texts
+may hold 2 GiB together. An empty table gives an empty one. Further columns stay as they are,
+whatever their names.
 """
 
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkact.llm.common import mix64, release, written
@@ -206,10 +209,10 @@ def chunks(batches, columns: int, most: int = 1 << 20):
 def map_runs(length: int):
     def task(batches, buckets):
         powers, parts, n = Powers(), [], 0
-        for rows in chunks(batches, 2):
-            docs = np.array([r[0] for r in rows], np.int64)
-            anchor, digest, who, pos, size = runs([r[1] for r in rows], powers, length)
-            parts.append((anchor, digest >> np.uint64(32), docs[who], pos, size))
+        for rows in chunks(batches, 3):
+            docs, base = (np.array([r[i] for r in rows], np.int64) for i in range(2))
+            anchor, digest, who, pos, size = runs([r[2] for r in rows], powers, length)
+            parts.append((anchor, digest >> np.uint64(32), docs[who], base[who] + pos, size))
             n += len(anchor)
             if n >= FLUSH:
                 yield from sent(parts, buckets, True)
@@ -223,8 +226,14 @@ def map_runs(length: int):
 PLACE = "shiftleft(pos, 32) | n"  # a span in one long
 
 
+def within(spans_: np.ndarray, base: int, size: int) -> np.ndarray:
+    """The spans of a document's texts that lie in the one of ``size`` bytes from ``base`` on, as places in it."""
+    pos = spans_ >> 32
+    return spans_[(pos >= base) & (pos < base + size)] - (base << 32)
+
+
 def map_suffixes(length: int):
-    """Entries for every suffix of the runs that are to be refined, of rows (doc_id, spans, text)."""
+    """Entries for every suffix of the runs that are to be refined, of rows (doc_id, base, spans, text)."""
     q = length // 2
 
     def task(batches, buckets):
@@ -232,16 +241,21 @@ def map_suffixes(length: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                raw = [t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(3).to_pylist()]
+                begin = part.column(1).to_numpy(zero_copy_only=False)
+                own_spans = [within(w.values.to_numpy(zero_copy_only=False), int(b), len(t)) for w, b, t in zip(part.column(2), begin, raw, strict=True)]
                 base = np.cumsum([0, *map(len, raw)])
+                span = np.concatenate(own_spans)
+                if not len(span):
+                    continue
                 ids = grams(np.frombuffer(b"".join(raw), np.uint8), q)
-                own = np.repeat(np.arange(len(raw)), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                span = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(raw)), [len(w) for w in own_spans])
                 count = (span & 0xFFFFFFFF) - length + 1
                 ends = np.cumsum(count)
                 where = np.repeat(base[own] + (span >> 32) - (ends - count), count) + np.arange(ends[-1])
                 here, who = ids[where], np.repeat(own, count)
-                parts.append((mix64(here + ids[where + q] * np.uint64(BASE2)), here >> np.uint64(32), part.column(0).to_numpy(zero_copy_only=False)[who], where - base[who], np.full(len(where), length)))
+                doc = part.column(0).to_numpy(zero_copy_only=False)
+                parts.append((mix64(here + ids[where + q] * np.uint64(BASE2)), here >> np.uint64(32), doc[who], where - base[who] + begin[who], np.full(len(where), length)))
                 held += len(where)
                 if held >= FLUSH:
                     yield from sent(parts, buckets, False)
@@ -252,22 +266,41 @@ def map_suffixes(length: int):
     return task
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, row: all columns) of the rows with a doc_id: the texts of one doc_id that differ lie one
+    behind the other in one numbering of bytes, each from its ``base`` on; equal ones lie in one place."""
+    digest = F.coalesce(F.xxhash64("row.text"), F.lit(0))
+    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    sizes = held.select("doc_id", digest.alias("h"), F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n"))
+    several = sizes.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
+    texts = written(sizes.join(several, "doc_id").groupBy("doc_id", "h").agg(F.max("n").alias("n")), "texts-of-one-id")
+    if texts.isEmpty():
+        return held.select("doc_id", F.lit(0).cast("long").alias("base"), "row")
+    before = F.sum("n").over(W.partitionBy("doc_id").orderBy("h").rowsBetween(W.unboundedPreceding, -1))
+    bases = texts.select("doc_id", "h", F.coalesce(before, F.lit(0)).alias("start"), "n")
+    base = F.when(F.col("start") + F.col("n") >= 1 << 31, F.raise_error(F.lit("the different texts of one doc_id hold more than 2 GiB")).cast("long")).otherwise(F.col("start"))
+    bases = bases.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), base.alias("start"))
+    joined = held.join(bases, (F.col("doc_id") == F.col("_d")) & (digest == F.col("_h")), "left")
+    return joined.select("doc_id", F.coalesce("start", F.lit(0)).cast("long").alias("base"), "row")
+
+
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, spans array<long>) of the documents that have bytes to remove; see PLACE."""
+    """(doc_id, spans array<long>) of the documents, as :func:`placed`, that have bytes to remove; see PLACE."""
     spark = docs.sparkSession
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    named = docs.select("doc_id", "base", F.col("row.text").alias("text"))
     first = written(exchanged(named, map_runs(length), resolved(True), SPANS), "runs")
     release(spark)
     todo = first.where(F.col("code") == REFINE).groupBy("doc_id").agg(F.collect_set(F.expr(PLACE)).alias("spans"))
-    late = written(exchanged(named.join(todo, "doc_id").select("doc_id", "spans", "text"), map_suffixes(length), resolved(False), SPANS), "suffixes")
+    late = written(exchanged(named.join(todo, "doc_id").select("doc_id", "base", "spans", "text"), map_suffixes(length), resolved(False), SPANS), "suffixes")
     release(spark)
     return first.where(F.col("code") == COVERED).unionByName(late).groupBy("doc_id").agg(F.collect_list(F.expr(PLACE)).alias("spans"))
 
 
-def kept(text: str | None, where: np.ndarray | None) -> tuple[bytes, int, int, int]:
-    """(remaining bytes, bytes, removed bytes, removed runs)."""
+def kept(text: str | None, where: np.ndarray | None, base: int) -> tuple[bytes, int, int, int]:
+    """(remaining bytes, bytes, removed bytes, removed runs) of a text from ``base`` on in its document."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    if where is None:
+    where = None if where is None else within(where, base, len(raw))
+    if where is None or not len(where):
         return raw, len(raw), 0, 0
     pos, n = where >> 32, where & 0xFFFFFFFF
     steps = np.bincount(pos, minlength=len(raw) + 1) - np.bincount(pos + n, minlength=len(raw) + 1)
@@ -276,6 +309,10 @@ def kept(text: str | None, where: np.ndarray | None) -> tuple[bytes, int, int, i
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), runs_
 
 
+def without_id(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<long>").alias("spans"), F.lit(0).cast("long").alias("base"))
+
+
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -288,22 +325,26 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for text, where in zip(part.column(1).to_pylist(), part.column(2), strict=True):
-                    rest, n, removed, count = kept(text, where.values.to_numpy(zero_copy_only=False) if where.is_valid else None)
+                for text, where, base in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
+                    rest, n, removed, count = kept(text, where.values.to_numpy(zero_copy_only=False) if where.is_valid else None, base)
                     rows.append((n, removed, count, sha256(rest).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
-    joined = docs.select("doc_id", "text").join(repeated(docs, length), "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(task, REPORT)
+    docs = docs.select("doc_id", "text")
+    held = placed(docs)
+    joined = held.join(repeated(held, length), "doc_id", "left").select("doc_id", "row.text", "spans", "base")
+    return joined.unionByName(without_id(docs)).mapInArrow(task, REPORT)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts (and what is then left of a
     character that was cut); all other columns as they are."""
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else kept(t, s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-    held = docs.select(F.col("doc_id"), F.struct("*").alias("row")).join(repeated(docs, length), "doc_id", "left")
-    text = cut("row.text", "spans")
-    return held.select(*[text.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns])
+    def cut(texts: pd.Series, spans: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or t is None else kept(t, s, b)[0].decode("utf-8", "ignore") for t, s, b in zip(texts, spans, bases, strict=True)], dtype=object)
+
+    held = placed(docs)
+    joined = held.join(repeated(held, length), "doc_id", "left").select("row", "spans", "base")
+    alone = docs.where("doc_id is null").select(F.struct("*").alias("row"), F.lit(None).cast("array<long>").alias("spans"), F.lit(0).cast("long").alias("base"))
+    text = cut("row.text", "spans", "base")
+    return joined.unionByName(alone).select(*[text.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns])

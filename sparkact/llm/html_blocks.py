@@ -22,6 +22,7 @@ text; columns other than page_id, url and html are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 from math import log1p
@@ -38,10 +39,12 @@ CODE, NO_TEXT = "script|style", "noscript|template|svg|iframe|object|math|audio|
 CLOSES_P = BLOCK - set("body html head title button label option select".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 
+# Attributes: a quote opens a value only behind an equals sign. Nothing is read twice, so a tag costs its length.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{CODE})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<other>{NO_TEXT})\b(?:[^>]*/>|[^>]*>.*?</(?P=other)\s*>|[^>]*>)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
-    re.S | re.I,
+    rf"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?>[^<>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?][^>]*>",
+    re.S,
 )
+HIDDEN = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in (CODE + "|" + NO_TEXT).split("|")}
 NAMES = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
@@ -57,33 +60,82 @@ def path_tokens(tag: str, attrs: str) -> list[int]:
     return [crc32(x.encode()) % PATH_DIM for x in out]
 
 
-def blocks(html: str | None) -> list[tuple[str, tuple[int, ...], float]]:
-    """(text, hashed tag path, share of the text inside links) of each leaf block, in order."""
+class Path:
+    """The hashed names of all open elements, changed at their ends only."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[int]]] = []
+        self.open: Counter[str] = Counter()
+        self.names: dict[int, int] = {}
+        self.size = 0
+        self.known: tuple[tuple[int, ...], int] | None = ((), 0)
+
+    def push(self, tag: str, names: list[int]) -> None:
+        self.stack.append((tag, names))
+        self.open[tag] += 1
+        self.size += len(names)
+        for i in names:
+            self.names[i] = self.names.get(i, 0) + 1
+        self.known = None
+
+    def pop(self) -> str:
+        tag, names = self.stack.pop()
+        self.open[tag] -= 1
+        self.size -= len(names)
+        for i in names:
+            self.names[i] -= 1
+            if not self.names[i]:
+                del self.names[i]
+        self.known = None
+        return tag
+
+    def top(self) -> str | None:
+        return self.stack[-1][0] if self.stack else None
+
+    def held(self) -> tuple[tuple[int, ...], int]:
+        """(the different names, the number of all)."""
+        if self.known is None:
+            self.known = tuple(self.names), self.size
+        return self.known
+
+
+def blocks(html: str | None) -> list[tuple[str, tuple[tuple[int, ...], int], float]]:
+    """(text, hashed tag path, share of the text inside links) of each leaf block, in order. One pass:
+    the end of an element without text is looked for once where there is none."""
     html = html or ""
-    out: list[tuple[str, tuple[int, ...], float]] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
-    path: tuple[int, ...] = ()
-    held: list[str] = []
-    link, linked, at = 0, 0, 0
+    out: list[tuple[str, tuple[tuple[int, ...], int], float]] = []
+    path, held, endless = Path(), [], set()
+    link, linked, at, begin = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                out.append((text, path, min(1.0, linked / len(text))))
+                out.append((text, path.held(), min(1.0, linked / len(text))))
             held, linked = [], 0
 
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, begin):
         if m.start() > at:
             held.append(html[at : m.start()])
             if link:
                 linked += m.start() - at
-        at = m.end()
+        at = begin = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in HIDDEN and not m["end"]:
+            code = tag in CODE.split("|")
+            if code or not m["attrs"].endswith("/"):
+                end = None if tag in endless else HIDDEN[tag].search(html, at)
+                if end:
+                    at = begin = end.end()
+                else:
+                    endless.add(tag)
+                    if code:
+                        at = begin = len(html)
+            continue
         if tag == "a":
             link = 0 if m["end"] else 1
         if tag == "br":
@@ -92,16 +144,15 @@ def blocks(html: str | None) -> list[tuple[str, tuple[int, ...], float]]:
             continue
         flush()
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if path.open[tag]:
+                while path.pop() != tag:
                     pass
         elif tag not in VOID:
-            if tag in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            while stack and stack[-1][0] in IMPLIED.get(tag, ()):
-                stack.pop()
-            stack.append((tag, tuple(path_tokens(tag, m["attrs"]))))
-        path = tuple(i for _, p in stack for i in p)
+            if tag in CLOSES_P and path.top() == "p":
+                path.pop()
+            while path.stack and path.top() in IMPLIED.get(tag, ()):
+                path.pop()
+            path.push(tag, path_tokens(tag, m["attrs"]))
     if at < len(html):
         held.append(html[at:])
     flush()
@@ -113,23 +164,23 @@ def hash_word(w: str) -> int:
     return PATH_DIM + crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIM
 
 
-def sparse(page: list[tuple[str, tuple[int, ...], float]]) -> tuple[list[int], list[float], list[int]]:
+def sparse(page: list[tuple[str, tuple[tuple[int, ...], int], float]]) -> tuple[list[int], list[float], list[int]]:
     """(features, values, number of features of each block) of a page."""
     n, cols, vals, sizes = len(page), [], [], []
-    for k, (text, path, links) in enumerate(page):
+    for k, (text, (path, depth), links) in enumerate(page):
         words = text.lower().split()
         counts = np.bincount([*map(hash_word, words)], minlength=PATH_DIM + WORD_DIM)[PATH_DIM:]
         there = np.flatnonzero(counts)
         marks = sum(map(text.count, ".,;:!?"))
-        own = [*dict.fromkeys(path), *(there + PATH_DIM).tolist(), *range(DIM - MEASURES, DIM)]
+        own = [*path, *(there + PATH_DIM).tolist(), *range(DIM - MEASURES, DIM)]
         cols += own
         vals += [1.0] * (len(own) - MEASURES - len(there)) + (counts[there] / len(words)).tolist()
-        vals += (log1p(len(text)) / 8, links, min(1.0, 10 * marks / len(text)), k / n, len(path) / 16, 1.0)
+        vals += (log1p(len(text)) / 8, links, min(1.0, 10 * marks / len(text)), k / n, depth / 16, 1.0)
         sizes.append(len(own))
     return cols, vals, sizes
 
 
-def vectors(page: list[tuple[str, tuple[int, ...], float]]) -> np.ndarray:
+def vectors(page: list[tuple[str, tuple[tuple[int, ...], int], float]]) -> np.ndarray:
     cols, vals, sizes = sparse(page)
     x = np.zeros((len(page), DIM), np.float32)
     np.add.at(x, (np.repeat(np.arange(len(page)), sizes), cols), vals)
@@ -349,6 +400,7 @@ def labelled(html: str) -> tuple[np.ndarray, np.ndarray]:
     return vectors([(b[0].replace(MAIN, "").replace(OTHER, "") or "-", b[1], b[2]) for b in page]), y
 
 
+@lru_cache(4)
 def trained(pages: int = 1600, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Network:
     made = Pages(seed)
     rows = sorted((labelled(made.page()) for _ in range(pages)), key=lambda r: len(r[1]))

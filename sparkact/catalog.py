@@ -6,9 +6,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkact.operators.messages import winners
 
@@ -34,6 +37,8 @@ class Catalog:
         version = self.current() if version is None else version
         if not version:
             raise LookupError(f"{self.path} has no version yet")
+        if not self.fs.exists(self._path(f"current-{version}")):
+            raise LookupError(f"{self.path} has no version {version}")
         pointer = self.fs.open(self._path(f"current-{version}"))
         try:
             folder = bytes(pointer.readAllBytes()).decode()
@@ -66,12 +71,28 @@ class Catalog:
 
     def upsert(self, new: DataFrame, keys: list[str], version: int, latest: Sequence[str] = ()) -> int:
         """The current rows with those of ``new`` in the place of rows of equal keys. Of rows of
-        ``new`` with equal keys the greatest stays, by the columns ``latest``, then by the others."""
+        ``new`` with equal keys the greatest stays, by the columns ``latest``, then by the others.
+        Null keys are equal."""
         if version <= self.current():
             return self.current()
         others = [c for c in new.columns if c not in keys]
         new = winners(new, keys, list(latest), others).select(*new.columns) if others else new.distinct()
         if self.current():
             old = self.read()
-            new = new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
+            known = new.select(*[F.col(k).alias(f"_new_{i}") for i, k in enumerate(keys)]).distinct()
+            same = reduce(and_, [old[k].eqNullSafe(known[f"_new_{i}"]) for i, k in enumerate(keys)])
+            new = new.unionByName(old.join(known, same, "left_anti"))
         return self.publish(new, version)
+
+    def retain(self, versions: int = 2) -> list[int]:
+        """Delete all but the newest ``versions`` (at least one), pointers first, so that no reader
+        opens what goes. Returns the deleted ones."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(""))]
+        found = sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+        gone = found[: -max(1, versions)]
+        for v in gone:
+            self.fs.delete(self._path(f"current-{v}"), False)
+        for n in names:
+            if any(n.startswith(f"v{v}-") for v in gone):
+                self.fs.delete(self._path(n), True)
+        return gone

@@ -37,9 +37,13 @@ def covered(df: DataFrame, keys: list[str], name: str = "seconds") -> DataFrame:
 
 def attributed(df: DataFrame, keys: list[str], winner: list[str]) -> DataFrame:
     """Seconds by key and ``winner`` columns, each moment given to the record that covers it and
-    ends last (then: greatest id). Keys bound the join of moments and records."""
-    points = df.select(*keys, F.explode(F.array("s", "e")).alias("a")).distinct()
-    atoms = points.withColumn("b", F.lead("a").over(Window.partitionBy(*keys).orderBy("a"))).where("b is not null")
-    hit = atoms.join(df, keys).where("s <= a and e >= b")
-    best = hit.groupBy(*keys, "a", "b").agg(F.max(F.struct("end_ts", "id", *winner)).alias("w"))
-    return best.groupBy(*keys, *[F.col(f"w.{c}").alias(c) for c in winner]).agg(F.sum(F.col("b") - F.col("a")).alias("seconds"))
+    ends last (then: greatest id).
+
+    A sweep over the starts: a record that ends before one begun earlier never wins, so the winner
+    from a start to the next one is the running maximum by end, as long as it lasts. Records are
+    sorted once and never meet one another, however many overlap."""
+    by_start = Window.partitionBy(*keys).orderBy("s")  # the maximum's frame takes in equal starts
+    top = F.max(F.struct("end_ts", "id", *winner, "e")).over(by_start)
+    swept = df.where("e > s").select(*keys, "s", F.lead("s").over(by_start).alias("next"), top.alias("w"))
+    seconds = F.least("w.e", F.coalesce("next", "w.e")) - F.col("s")
+    return swept.select(*keys, *[F.col(f"w.{c}").alias(c) for c in winner], seconds.alias("seconds")).where("seconds > 0").groupBy(*keys, *winner).agg(F.sum("seconds").alias("seconds"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkact.functions import apps
 from sparkact.functions import text as tx
 from sparkact.functions.names import fresh
 
 
 def ignored(app: Column, rules: list[str]) -> Column:
-    """Whether a name contains one of the rules, in any case."""
-    return F.exists(F.array(*[F.lit(r.lower()) for r in rules]), lambda r: F.contains(F.lower(app), r)) if rules else F.lit(False)
+    """Whether the name that a program is displayed by contains one of the rules, in any case."""
+    shown = F.lower(apps.display_name(app))
+    return F.exists(F.array(*[F.lit(r.lower()) for r in rules]), lambda r: F.contains(shown, r)) if rules else F.lit(False)
 
 
 def excluded(url: Column, domains: list[str]) -> Column:

@@ -15,11 +15,10 @@ GAP = 900
 
 def timeline(acts: DataFrame, lo: int, hi: int) -> DataFrame:
     """Newest record of each (owner, app, page) in [lo, hi), with the group's clipped seconds."""
-    rows = clipped(acts, lo, hi)
     page = F.coalesce(tx.trimmed_url(F.col("url")), F.lit(""))
-    w = Window.partitionBy("owner", "app", page)
-    ranked = rows.withColumn("rn", F.row_number().over(w.orderBy(F.desc("end_ts"), F.desc("id")))).withColumn("seconds", F.sum(F.col("e") - F.col("s")).over(w))
-    return ranked.where("rn = 1").select("id", "end_ts", "owner", "app", page.alias("page"), "seconds")
+    by = clipped(acts, lo, hi).groupBy("owner", "app", page.alias("page"))
+    newest = by.agg(F.max(F.struct("end_ts", "id")).alias("newest"), F.sum(F.col("e") - F.col("s")).alias("seconds"))
+    return newest.select("newest.id", "newest.end_ts", "owner", "app", "page", "seconds")
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

@@ -51,10 +51,12 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Upsert: of rows with equal keys the one of the greatest version, new before old."""
+    """Upsert: of rows with equal keys the one of the greatest version, new before old, then the one greatest by
+    the other columns, in their order."""
     side, place = fresh("_new", old, new), fresh("_rn", old, new)
     rows = old.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc(side))
+    others = [F.desc(f.name) for f in old.schema.fields if f.name not in (*keys, version) and "map<" not in f.dataType.simpleString()]
+    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc(side), *others)
     return rows.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place, side)
 
 

@@ -138,10 +138,11 @@ def canonical_url(text: Column) -> Column:
 
 
 def page_hint(title: Column) -> Column:
-    """An address in a window title: its first word, else its `` - `` parts from the right."""
+    """An address in a window title: its first word, else its `` - `` parts from the right. A host with a
+    path glued to it is none."""
     parts = F.reverse(F.split(title, " - "))
     words = F.concat(F.array(F.get(F.split(F.trim(title), r"\s+"), F.lit(0))), F.transform(parts, F.trim))
-    return F.get(F.filter(F.transform(words, canonical_url), lambda u: u.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(words, canonical_url), lambda u: u.isNotNull() & ~apps.is_merged_domain(u)), F.lit(0))
 
 
 def report_keywords(rows: DataFrame, keys: list[str], title: str, body: str, order: list[str], n: int = 30) -> DataFrame:

@@ -66,11 +66,12 @@ def app_summary(timeline: DataFrame, top: int = 15) -> DataFrame:
     return by.withColumn("percent", F.floor(F.col("seconds") * 100 / F.greatest(whole, F.lit(1))).cast("long")).orderBy(F.desc("seconds"), "app").limit(top)
 
 
-def by_browser(acts: DataFrame, browser: str = "app") -> DataFrame:
-    """Seconds by domain and browser, and under ``other`` what no browser accounts for."""
+def by_browser(acts: DataFrame, browser: Column | str = "app") -> DataFrame:
+    """Seconds by domain and browser, and under ``other`` what no browser accounts for: records whose ``browser`` is null."""
+    browser = F.col(browser) if isinstance(browser, str) else browser
     host = F.lower(tx.host(F.col("url")))
     total = acts.where("url is not null").groupBy(host.alias("domain")).agg(F.sum("duration").alias("total"))
-    own = acts.where("url is not null AND k % 3 <> 0").groupBy(host.alias("domain"), F.col(browser).alias("browser")).agg(F.sum("duration").alias("seconds"))
+    own = acts.where(F.col("url").isNotNull() & browser.isNotNull()).groupBy(host.alias("domain"), browser.alias("browser")).agg(F.sum("duration").alias("seconds"))
     rest = total.join(own.groupBy("domain").agg(F.sum("seconds").alias("known")), "domain", "left").select("domain", F.lit("other").alias("browser"), (F.col("total") - F.coalesce("known", F.lit(0))).alias("seconds"))
     return own.unionByName(rest.where("seconds > 0"))
 

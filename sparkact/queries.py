@@ -396,10 +396,10 @@ def domain_parts(spark, d):
     return read(spark, d, "pages").select("page_id", h.alias("host"), F.size(tx.suffixes(h)).cast("long").alias("parts"))
 
 
-@query("WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages) SELECT page_id, host FROM h WHERE (host <> 'm' AND starts_with(host, 'm') AND NOT starts_with(host, 'm.')) OR ends_with(host, '.m')")
+@query("WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages) SELECT page_id, host FROM h WHERE (host <> 'example.com' AND starts_with(host, 'example.com') AND NOT starts_with(host, 'example.com.')) OR ends_with(host, '.example.com')")
 def merged_domain(spark, d):
     h = read(spark, d, "pages").select("page_id", tx.host(F.col("url")).alias("host"))
-    return h.where(tx.merged_domain(F.col("host"), "m"))
+    return h.where(tx.merged_domain(F.col("host"), "example.com"))
 
 
 @query("WITH s AS (SELECT page_id, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS suffix FROM (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.') AS p FROM pages)), k(suffix, label) AS (VALUES ('com', 'commercial'), ('example.com', 'sample'), ('org', 'organisation')) SELECT page_id, k.suffix AS suffix, label FROM s JOIN k ON s.suffix = k.suffix QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(k.suffix) DESC) = 1")
@@ -455,12 +455,16 @@ def carry_over(spark, d):
     return msg.carried_over(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 2 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
 
 
-@query(None)
+@query(f"""WITH t AS ({TIMELINE}), d AS (SELECT *, end_ts // 86400 AS day FROM t)
+    SELECT owner, day, to_json({{'version': 1, 'owner': owner, 'date': day, 'n': count(*), 'records': list({{'id': id, 'end_ts': end_ts, 'app': app, 'page': page, 'seconds': seconds}} ORDER BY id)}})::VARCHAR AS document FROM d GROUP BY owner, day""")
 def export_json(spark, d):
     t = act.timeline(activities(spark, d), LO, HI).withColumn("day", F.floor(F.col("end_ts") / 86400).cast("long"))
     return timeline_documents(t)
 
 
-@query(None)
+@query(rf"""WITH found AS (SELECT conv_id, turn, unnest(regexp_extract_all('You need to ' || text, '{tx.TODO}', 1)) AS title FROM conversations),
+    named AS (SELECT conv_id AS conversation, turn AS ordinal, substr(trim(regexp_replace(title, '[\s\p{{Z}}]+', ' ', 'g')), 1, 80) AS title FROM found)
+    SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY conversation, ordinal) = 1""")
 def todo_extract(spark, d):
-    return msg.todos(messages(spark, d))
+    """Messages as tasks: each begins with a phrase that names one."""
+    return msg.todos(messages(spark, d).withColumn("content", F.concat(F.lit("You need to "), "content")))

@@ -119,7 +119,7 @@ def day_app_summary(spark, d):
     own AS (SELECT domain, app AS browser, CAST(sum(duration) AS BIGINT) AS seconds FROM u WHERE k % 3 <> 0 GROUP BY ALL)
     SELECT * FROM own UNION ALL SELECT domain, 'other', CAST(sum(duration) - coalesce(sum(duration) FILTER (k % 3 <> 0), 0) AS BIGINT) AS rest FROM u GROUP BY domain HAVING rest > 0""")
 def domain_browsers(spark, d):
-    return rep.by_browser(activities(spark, d))
+    return rep.by_browser(activities(spark, d), F.when(F.col("k") % 3 != 0, F.col("app")))
 
 
 @query(f"""WITH {ACTS}, sums AS (SELECT rtrim(url, '/') AS url, CAST(sum(duration) AS BIGINT) AS seconds, regexp_extract(any_value(url), '^[a-z]+://([^/]*)', 1) AS domain FROM acts WHERE url IS NOT NULL GROUP BY rtrim(url, '/'))

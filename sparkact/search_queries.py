@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkact.operators import inverted
+from sparkact.operators import hybrid, inverted
 from sparkact.queries import longs, query
 from sparkact.sources.tables import read
 
@@ -59,3 +59,40 @@ def index_bm25_each(spark: SparkSession, d: str) -> DataFrame:
     found = found.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "hits")
     best = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return longs(found.withColumn("rank", best).where(F.col("rank") <= EACH), "rank")
+
+
+# Documents that have a vector are chunks, their sources conversations; every twentieth asks with its vector and first
+# two words, and may see its own source and a third of the others. Toxic documents are denied, poor ones are meanwhile.
+CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, source AS conversation, text AS content, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+    requests AS (SELECT chunk_id AS query_id, conversation AS bound, embedding AS q, array_to_string(string_split(content, ' ')[1:2], ' ') AS text FROM chunks WHERE chunk_id % 20 = 0),
+    scopes AS (SELECT query_id, c.conversation FROM requests, (SELECT DISTINCT conversation FROM chunks) c WHERE c.conversation = bound OR CAST(substr(c.conversation, 4) AS BIGINT) % 3 = query_id // 20 % 3),
+    allowed AS (SELECT * FROM chunks WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+TOP_K, BUDGET = 8, 20_000
+CANDIDATES = hybrid.candidates_for(TOP_K)
+HYBRID = f"""{SCAN.replace('doc_id, list_concat', 'chunk_id AS doc_id, list_concat').replace('FROM documents WHERE doc_id IS NOT NULL', 'FROM (SELECT chunk_id, content AS text FROM chunks)').replace('WITH docs', f'WITH {CHUNKS}, docs')},
+    asked AS (SELECT DISTINCT query_id, unnest({ALL_TERMS}) AS term FROM requests), needed AS (SELECT query_id, count(*) AS needed FROM asked GROUP BY ALL),
+    worded AS (SELECT query_id, doc_id AS chunk_id, sum(weight) AS score FROM asked JOIN weight USING (term) JOIN needed USING (query_id) GROUP BY query_id, doc_id, needed HAVING count(*) = needed),
+    words AS (SELECT w.query_id, chunk_id, row_number() OVER (PARTITION BY w.query_id ORDER BY w.score DESC, chunk_id) - 1 AS rank FROM worded w JOIN allowed USING (chunk_id) JOIN scopes s ON s.query_id = w.query_id AND s.conversation = allowed.conversation QUALIFY rank < {CANDIDATES}),
+    pairs AS (SELECT query_id, chunk_id, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS score FROM requests JOIN scopes USING (query_id) JOIN allowed USING (conversation)),
+    vectors AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM pairs WHERE score >= {hybrid.LEAST_COSINE} QUALIFY rank < {CANDIDATES}),
+    fused AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank + 1)) AS score FROM (FROM words UNION ALL FROM vectors) GROUP BY ALL),
+    boosted AS (SELECT f.query_id, f.chunk_id, a.conversation, a.content, f.score + CASE WHEN a.conversation = r.bound THEN {hybrid.SAME_CONVERSATION} ELSE 0 END AS score FROM fused f JOIN allowed a USING (chunk_id) JOIN requests r USING (query_id)),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM boosted QUALIFY rank <= {TOP_K}),
+    hits AS (SELECT query_id, rank, chunk_id, conversation, score, strlen(content) AS tokens, sum(strlen(content)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM top WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))"""
+
+
+@query(f"{HYBRID} SELECT query_id, rank, chunk_id, conversation, round(score, 9) AS score, tokens, used FROM hits WHERE used <= {BUDGET}")
+def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels").withColumnRenamed("doc_id", "chunk_id")
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("conversation"), F.col("text").alias("content")).join(vectors, "chunk_id")
+    requests = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("conversation").alias("bound"), F.col("vector").alias("q"), F.substring_index("content", " ", 2).alias("text"))
+    number = F.substring("conversation", 4, 9).cast("long")
+    places = chunks.select("conversation").distinct().withColumn("third", number % 3)
+    third = F.floor(F.col("query_id") / 20) % 3
+    scopes = requests.select("query_id", third.alias("third")).join(places, "third").select("query_id", "conversation").unionByName(requests.select("query_id", F.col("bound").alias("conversation")))
+    at = (spark.sparkContext.applicationId, f"{d}#chunks")
+    if at not in _built:
+        _built[at] = inverted.build(chunks, "chunk_id", "content")
+    hits = hybrid.retrieved(_built[at], chunks, requests, scopes, labels.where("toxic = 1"), labels.where("quality = 0"), TOP_K, BUDGET)
+    return hits.drop("content").withColumn("score", F.round("score", 9))

@@ -1,4 +1,4 @@
-"""Queries over the full-text index, and the SQL that scans all texts instead."""
+"""Queries over the full-text index, hybrid retrieval and imported archives, and the SQL that scans all texts instead."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from sparkact.operators import hybrid, inverted
 from sparkact.queries import longs, query
-from sparkact.sources.tables import read
+from sparkact.sources.chat_archive import read_archive, write_archive
+from sparkact.sources.shared import new_path
+from sparkact.sources.tables import messages, read
 
 ASKED = "The THEN; with"
 EACH = 5
@@ -96,3 +98,11 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
         _built[at] = inverted.build(chunks, "chunk_id", "content")
     hits = hybrid.retrieved(_built[at], chunks, requests, scopes, labels.where("toxic = 1"), labels.where("quality = 0"), TOP_K, BUDGET)
     return hits.drop("content").withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT 'e1' AS export_id, conv_id::VARCHAR AS conversation, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS source_ordinal, role AS sender, turn * 60000 AS created_at_ms, text AS content FROM conversations""")
+def archive_import(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written as chat archives and imported again, each by a task of its own."""
+    path = new_path(spark, "archive")
+    write_archive(messages(spark, d), path, "e1", "a1")
+    return read_archive(spark, path).select("export_id", "conversation", "source_ordinal", "sender", "created_at_ms", "content")

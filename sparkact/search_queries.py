@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkact.operators import hybrid, inverted
+from sparkact.functions import blobs, phrases
+from sparkact.operators import budgets, hybrid, inverted
 from sparkact.queries import longs, query
 from sparkact.sources.chat_archive import read_archive, write_archive
 from sparkact.sources.shared import new_path
@@ -106,3 +107,55 @@ def archive_import(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "archive")
     write_archive(messages(spark, d), path, "e1", "a1")
     return read_archive(spark, path).select("export_id", "conversation", "source_ordinal", "sender", "created_at_ms", "content")
+
+
+@query("""WITH d AS (SELECT *, strlen(coalesce(text, '')) AS size FROM documents WHERE n_chars >= 100), u AS (SELECT doc_id, size, sum(size) OVER (ORDER BY doc_id DESC)::BIGINT AS used FROM d) SELECT * FROM u WHERE used <= 1500000""")
+def size_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Oldest documents go first (the smallest ids) until the rest fits; short ones have expired."""
+    docs = read(spark, d, "documents").withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return budgets.retained(docs, [-F.col("doc_id")], "size", 1_500_000, F.col("n_chars") >= 100).select("doc_id", "size", "used")
+
+
+@query("""WITH u AS (SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS used FROM conversations) SELECT * FROM u WHERE used <= 1200""")
+def running_budget(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.octet_length("text").alias("size"))
+    return budgets.within(turns, ["conv_id"], ["turn"], "size", 1200).select("conv_id", "turn", "used")
+
+
+@query("""SELECT vec_id, 4 * len(embedding) AS bytes, len(embedding) AS n, true AS same, len(embedding) = 64 AS exact FROM embeddings""")
+def vector_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as bytes, with a tail that is cut off again."""
+    e = read(spark, d, "embeddings").withColumn("blob", blobs.encoded(F.col("embedding")))
+    e = e.withColumn("again", blobs.decoded(F.concat("blob", F.lit(b"abc")))).withColumn("exactly", blobs.decoded_exactly(F.col("blob"), 64))
+    return e.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), F.size("again").cast("long").alias("n"), (F.col("again") == F.col("embedding")).alias("same"), F.coalesce(F.col("exactly") == F.col("embedding"), F.lit(False)).alias("exact"))
+
+
+QUESTIONS = ["今天做了什么", "昨日 和 前天", "最近12天 的代码", "近 3 天还是过去40天", "最近怎么样", "最近 5 天", "本周", "上一周与本月", "上个月", "no phrase", "这个月 今日", "上周末", None]
+WORDS = ["today", "昨天", "前天", "这周", "上周", "2024-01-05", None, "Yesterday"]
+ZONE = "Asia/Shanghai"
+
+
+def phrase_rows() -> str:
+    """SQL of phrase(word, span)."""
+    return "VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in phrases.SPANS.items())
+
+
+ASKED_SQL = f"""asked AS (SELECT event_id, {[q or '' for q in QUESTIONS]}[event_id % {len(QUESTIONS)} + 1] AS q, {[w or 'today' for w in WORDS]}[event_id % {len(WORDS)} + 1] AS w, (ts + INTERVAL 8 HOUR)::DATE AS today FROM events)"""
+
+
+@query(rf"""WITH {ASKED_SQL}, phrase(word, span) AS ({phrase_rows()}),
+    base AS (SELECT *, date_trunc('week', today)::DATE AS week, date_trunc('month', today)::DATE AS month FROM asked),
+    found AS (SELECT event_id, CASE span WHEN 'today' THEN today WHEN 'yesterday' THEN today - 1 WHEN 'day before' THEN today - 2 WHEN 'week' THEN week WHEN 'last week' THEN week - 7 WHEN 'month' THEN month ELSE (month - INTERVAL 1 MONTH)::DATE END AS s,
+            CASE span WHEN 'yesterday' THEN today - 1 WHEN 'day before' THEN today - 2 WHEN 'last week' THEN week - 1 WHEN 'last month' THEN month - 1 ELSE today END AS e FROM base JOIN phrase ON contains(q, word)
+        UNION ALL SELECT event_id, today - unnest(regexp_extract_all(q, '(?:最近|近|过去)\s*(\d+)\s*天', 1))::INTEGER, today FROM base
+        UNION ALL SELECT event_id, today - 7, today FROM base WHERE contains(q, '最近') AND NOT regexp_matches(q, '最近\s*\d+\s*天'))
+    SELECT event_id, min(s)::VARCHAR AS start, max(e)::VARCHAR AS stop,
+        CASE any_value(lower(w)) WHEN 'today' THEN any_value(today)::VARCHAR WHEN 'yesterday' THEN (any_value(today) - 1)::VARCHAR WHEN '昨天' THEN (any_value(today) - 1)::VARCHAR WHEN '前天' THEN (any_value(today) - 2)::VARCHAR
+            WHEN '这周' THEN any_value(week)::VARCHAR WHEN '上周' THEN (any_value(week) - 7)::VARCHAR ELSE any_value(lower(w)) END AS day
+    FROM base LEFT JOIN found USING (event_id) GROUP BY event_id""")
+def time_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Questions put at the events' times, in a zone eight hours ahead."""
+    at = lambda items: F.element_at(F.array(*map(F.lit, items)), (F.col("event_id") % len(items) + 1).cast("int"))
+    e = read(spark, d, "events").select("event_id", at(QUESTIONS).alias("q"), at(WORDS).alias("w"), phrases.local_day(F.col("ts").cast("timestamp"), ZONE).alias("today"))
+    found = phrases.range_of(F.col("q"), F.col("today"))
+    return e.select("event_id", found["start"].cast("string").alias("start"), found["end"].cast("string").alias("stop"), phrases.single_day(F.col("w"), F.col("today")).alias("day"))

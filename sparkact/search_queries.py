@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkact.functions import blobs, phrases
-from sparkact.operators import budgets, hybrid, inverted
+from sparkact.operators import budgets, hybrid, inverted, lineage
 from sparkact.queries import longs, query
 from sparkact.sources.chat_archive import read_archive, write_archive
 from sparkact.sources.shared import new_path
@@ -159,3 +159,15 @@ def time_phrases(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_id", at(QUESTIONS).alias("q"), at(WORDS).alias("w"), phrases.local_day(F.col("ts").cast("timestamp"), ZONE).alias("today"))
     found = phrases.range_of(F.col("q"), F.col("today"))
     return e.select("event_id", found["start"].cast("string").alias("start"), found["end"].cast("string").alias("stop"), phrases.single_day(F.col("w"), F.col("today")).alias("day"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 50 = 9 THEN 'removed' WHEN doc_id % 50 = 7 THEN 'changed' END AS change, CASE WHEN doc_id % 50 = 7 THEN 'second' END AS source FROM documents WHERE doc_id % 50 IN (7, 9)
+    UNION ALL SELECT -1 - doc_id, 'added', 'second' FROM documents WHERE doc_id % 50 = 11""")
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A second import of the documents, of which some are changed, gone or new, against the first; with their sources."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    later = docs.where("doc_id % 50 <> 9").withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    later = later.unionByName(docs.where("doc_id % 50 = 11").withColumn("doc_id", -1 - F.col("doc_id")))
+    first, second = lineage.saved(docs, ["doc_id"], buckets=32), lineage.saved(later, ["doc_id"], buckets=32)
+    edges = lineage.edges(second, "second", first, lineage.edges(first, "first"))
+    return first.changes(second).join(edges, "doc_id", "left").select("doc_id", "change", "source")

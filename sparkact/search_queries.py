@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkact.functions import blobs, phrases
-from sparkact.operators import budgets, hybrid, inverted, lineage
-from sparkact.queries import longs, query
+from sparkact.operators import budgets, hybrid, inverted, lineage, maintenance
+from sparkact.operators.rounds import Rounds
+from sparkact import report_queries  # noqa: F401  its SQL is part of one below
+from sparkact.queries import ACTS, COVERED, HOURS, ORACLE, longs, query
 from sparkact.sources.chat_archive import read_archive, write_archive
 from sparkact.sources.shared import new_path
-from sparkact.sources.tables import messages, read
+from sparkact.sources.tables import activities, messages, read
 
 ASKED = "The THEN; with"
 EACH = 5
@@ -171,3 +173,40 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
     first, second = lineage.saved(docs, ["doc_id"], buckets=32), lineage.saved(later, ["doc_id"], buckets=32)
     edges = lineage.edges(second, "second", first, lineage.edges(first, "first"))
     return first.changes(second).join(edges, "doc_id", "left").select("doc_id", "change", "source")
+
+
+# Of the events, every eleventh is deleted, every thirteenth comes later, and of each seventh the category changes.
+CHANGED = f"""WITH {ACTS.replace('acts AS', 'all_acts AS')}, acts AS (SELECT * REPLACE (CASE WHEN id % 7 = 2 THEN 'own' ELSE category END AS category) FROM all_acts WHERE id % 11 <> 3)"""
+
+
+def before_and_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records before, changes, records after)."""
+    every = activities(spark, d)
+    before = every.where("id % 13 <> 5")
+    moved = before.where("id % 7 = 2 AND id % 11 <> 3")
+    as_own = lambda x: x.withColumn("category", F.when(F.col("id") % 7 == 2, "own").otherwise(F.col("category")))
+    gone, came = before.where("id % 11 = 3"), as_own(every.where("id % 13 = 5 AND id % 11 <> 3"))
+    signed = maintenance.changes(came, gone).unionByName(maintenance.reclassified(moved, as_own(moved)))
+    return before, signed, as_own(every.where("id % 11 <> 3"))
+
+
+@query(f"{CHANGED} SELECT owner, CAST(floor(end_ts / 86400) AS BIGINT) AS day, app, category, count(*) AS n, sum(duration)::BIGINT AS seconds FROM acts GROUP BY ALL")
+def usage_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    before, signed, _ = before_and_changes(spark, d)
+    return maintenance.updated_usage(maintenance.usage(maintenance.changes(before)), signed)
+
+
+@query(f"{CHANGED}, {HOURS}, {COVERED} SELECT owner, hour, seconds FROM covered")
+def covered_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    before, signed, after = before_and_changes(spark, d)
+    return maintenance.updated_covered(maintenance.covered_hours(before), after, signed)
+
+
+@query(f"SELECT date, app, place, content, last_id FROM ({ORACLE['memory_chunks']})")
+def index_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of the events, indexed in three rounds."""
+    acts = activities(spark, d)
+    rounds, third = Rounds(spark, new_path(spark, "rounds")), acts.count() // 3 + 1
+    while rounds.round(acts, F.concat(F.lit("t"), F.col("id") % 9), F.concat("app", F.expr("repeat('.', cast(duration % 11 AS int))")), third):
+        pass
+    return rounds.table().select("date", "app", "place", "content", "last_id")

@@ -60,6 +60,12 @@ def path_tokens(tag: str, attrs: str) -> list[int]:
     return [crc32(x.encode()) % PATH_DIM for x in out]
 
 
+class Names(tuple):
+    """The different hashed names of all open elements, and how many there are with repetitions."""
+
+    size = 0
+
+
 class Path:
     """The hashed names of all open elements, changed at their ends only."""
 
@@ -68,7 +74,7 @@ class Path:
         self.open: Counter[str] = Counter()
         self.names: dict[int, int] = {}
         self.size = 0
-        self.known: tuple[tuple[int, ...], int] | None = ((), 0)
+        self.known: Names | None = Names()
 
     def push(self, tag: str, names: list[int]) -> None:
         self.stack.append((tag, names))
@@ -92,18 +98,18 @@ class Path:
     def top(self) -> str | None:
         return self.stack[-1][0] if self.stack else None
 
-    def held(self) -> tuple[tuple[int, ...], int]:
-        """(the different names, the number of all)."""
+    def held(self) -> Names:
         if self.known is None:
-            self.known = tuple(self.names), self.size
+            self.known = Names(self.names)
+            self.known.size = self.size
         return self.known
 
 
-def blocks(html: str | None) -> list[tuple[str, tuple[tuple[int, ...], int], float]]:
+def blocks(html: str | None) -> list[tuple[str, tuple[int, ...], float]]:
     """(text, hashed tag path, share of the text inside links) of each leaf block, in order. One pass:
     the end of an element without text is looked for once where there is none."""
     html = html or ""
-    out: list[tuple[str, tuple[tuple[int, ...], int], float]] = []
+    out: list[tuple[str, tuple[int, ...], float]] = []
     path, held, endless = Path(), [], set()
     link, linked, at, begin = 0, 0, 0, 0
 
@@ -164,23 +170,23 @@ def hash_word(w: str) -> int:
     return PATH_DIM + crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIM
 
 
-def sparse(page: list[tuple[str, tuple[tuple[int, ...], int], float]]) -> tuple[list[int], list[float], list[int]]:
+def sparse(page: list[tuple[str, tuple[int, ...], float]]) -> tuple[list[int], list[float], list[int]]:
     """(features, values, number of features of each block) of a page."""
     n, cols, vals, sizes = len(page), [], [], []
-    for k, (text, (path, depth), links) in enumerate(page):
+    for k, (text, path, links) in enumerate(page):
         words = text.lower().split()
         counts = np.bincount([*map(hash_word, words)], minlength=PATH_DIM + WORD_DIM)[PATH_DIM:]
         there = np.flatnonzero(counts)
         marks = sum(map(text.count, ".,;:!?"))
-        own = [*path, *(there + PATH_DIM).tolist(), *range(DIM - MEASURES, DIM)]
+        own = [*dict.fromkeys(path), *(there + PATH_DIM).tolist(), *range(DIM - MEASURES, DIM)]
         cols += own
         vals += [1.0] * (len(own) - MEASURES - len(there)) + (counts[there] / len(words)).tolist()
-        vals += (log1p(len(text)) / 8, links, min(1.0, 10 * marks / len(text)), k / n, depth / 16, 1.0)
+        vals += (log1p(len(text)) / 8, links, min(1.0, 10 * marks / len(text)), k / n, getattr(path, "size", len(path)) / 16, 1.0)
         sizes.append(len(own))
     return cols, vals, sizes
 
 
-def vectors(page: list[tuple[str, tuple[tuple[int, ...], int], float]]) -> np.ndarray:
+def vectors(page: list[tuple[str, tuple[int, ...], float]]) -> np.ndarray:
     cols, vals, sizes = sparse(page)
     x = np.zeros((len(page), DIM), np.float32)
     np.add.at(x, (np.repeat(np.arange(len(page)), sizes), cols), vals)

@@ -2,11 +2,14 @@
 
 A logistic model over the words of a text and the first letters of its words is fitted on a
 bounded sample of labelled texts. Beside the labelled loss it pays for every difference of
-score between a sample text and its counterfactual, in which identity terms are swapped for
-others of their group; where a text names no group, a neutral sentence that names one is put
-before it and swapped likewise. A term's weight thus falls to what the text's other words
+score between a sentence of the sample that names a group and its counterfactual, in which identity
+terms are swapped for others of their group; of a text that names none, one sentence gets a term
+put before it and swapped likewise. A term's weight thus falls to what the sentence's other words
 leave unexplained, so that a neutral mention of a group moves no score.
 
+Of the features those are kept whose likelihood ratio says more about the labels than chance does
+among so many features; what chance allows grows with their number, so that small samples keep few.
+
 Scores depend on the text alone. Defined results: null and empty texts get the score of a text
 without words, the model's base rate; repeated words count once, repeated rows get equal scores.
 Of several labels of one doc_id the larger counts, of several texts the first in order. Without
@@ -40,6 +43,7 @@ IDENTITY = [
 SWAPS = {w: [x for x in line.split() if x != w] for line in IDENTITY for w in line.split()}
 TERMS = sorted(SWAPS)
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\n。！？]+")
 STEM = 4  # letters
 
 
@@ -88,52 +92,78 @@ class Features:
         return np.array([number.setdefault(f, len(number)) for f in features(words)], np.int32)
 
 
-def fit(texts: list[str | None], labels: list[int], least: int = 3, most: int = 3_000, swap_penalty: float = 4.0, ridge: float = 1e-5, rounds: int = 250, rate: float = 0.1) -> Model:
-    """Full-batch Adam; features in fewer than ``least`` sample texts are left out, and the
-    ``most`` that tell the labels apart best are kept. A text's words are held only while they
-    are numbered."""
-    return fitted(zip(texts, labels, strict=True), least, most, swap_penalty, ridge, rounds, rate)
+def sentences(text: str | None) -> list[set[str]]:
+    """The words of each sentence that has any."""
+    return [w for w in map(words_of, SENTENCE.split(text or "")) if w]
+
+
+def counterfactuals(text: str | None, number: int) -> list[tuple[set[str], set[str]]]:
+    """(words, words with terms swapped) of the sentences that name a group; of one with a term before it, if none does."""
+    parts = sentences(text)
+    named = [w for w in parts if w & SWAPS.keys()] or [parts[number % len(parts)] if parts else set()]
+    return [swapped(w, number + k) for k, w in enumerate(named)]
+
+
+def likelihood_ratio(total: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Twice the log likelihood that a feature's own share of toxic texts gains over ``share``."""
+    part = lambda seen, p: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(total * p, 1e-300)), 0.0)
+    return 2 * (part(toxic, share) + part(total - toxic, 1 - share))
 
 
-def fitted(rows: Iterable[tuple[str | None, int]], least: int = 3, most: int = 3_000, swap_penalty: float = 4.0, ridge: float = 1e-5, rounds: int = 250, rate: float = 0.1) -> Model:
-    """:func:`fit` of (text, label) as they come, of which none is kept."""
-    known, sides, labels = Features(), ([], [], []), []
+def fit(texts: list[str | None], labels: list[int], **options: float) -> Model:
+    """:func:`fitted` of lists."""
+    return fitted(zip(texts, labels, strict=True), **options)
+
+
+def fitted(rows: Iterable[tuple[str | None, int]], strictness: float = 0.75, swap_penalty: float = 4.0, ridge: float = 1e-4, rounds: int = 250, rate: float = 0.1) -> Model:
+    """Full-batch Adam over (text, label) as they come, of which none is kept. A feature stays if its likelihood
+    ratio is 2 * ``strictness`` * log(number of features) at least; identity terms always stay."""
+    known, bags, sides, labels = Features(), [], ([], []), []
     known.of(set(TERMS))
     for i, (text, label) in enumerate(rows):
         labels.append(label)
-        words = words_of(text)
-        for side, bag in zip(sides, (words, *swapped(words, i)), strict=True):
-            side.append(known.of(bag))
+        bags.append(known.of(words_of(text)))
+        for pair in counterfactuals(text, i):
+            for side, words in zip(sides, pair, strict=True):
+                side.append(known.of(words))
     if not labels:
         return Model({}, 0.0)
     y = np.array(labels, float)
     share = (y.sum() + 1) / (len(y) + 2)
-    every, size = np.concatenate(sides[0]), len(known.number)
-    total = np.bincount(every, minlength=size)
-    toxic = np.bincount(every, np.repeat(y, [len(b) for b in sides[0]]), size)
-    gain = np.abs(np.log((toxic + 0.5 * share) / (total + 0.5) / share)) * np.sqrt(total)
-    names = {f: n for f, n in known.number.items() if total[n] >= least}
-    chosen = dict.fromkeys([*sorted(sorted(names, key=lambda f: (-gain[names[f]], f))[:most]), *TERMS])
+    every, size = np.concatenate(bags), len(known.number)
+    total = np.bincount(every, minlength=size).astype(float)
+    toxic = np.bincount(every, np.repeat(y, [len(b) for b in bags]), size)
+    ratio = likelihood_ratio(total, toxic, share)
+    least = 2 * strictness * np.log(max(2, np.count_nonzero(total)))
+    chosen = dict.fromkeys([*sorted(f for f, n in known.number.items() if ratio[n] >= least), *TERMS])
     column = np.full(size, -1, np.int64)
     column[[known.number[f] for f in chosen]] = np.arange(len(chosen))
-    rows, left, right = (csr(side, column) for side in sides)
+    texts, left, right = (csr(side, column) for side in (bags, *sides))
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(share / (1 - share))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        g = np.zeros_like(w)
-        p = sigmoid(times(rows, w))
-        add(rows, g, (p - y) / len(y))
-        a, b = sigmoid(times(left, w)), sigmoid(times(right, w))
-        d = 2 * swap_penalty * (a - b) / len(y)
-        add(left, g, d * a * (1 - a))
-        add(right, g, -d * b * (1 - b))
-        g[:-1] += ridge * w[:-1]
+        loss, g = objective(w, texts, y, left, right, swap_penalty, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({f: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) > 1e-4}, float(w[-1]))
 
 
+def objective(w: np.ndarray, texts, y: np.ndarray, left, right, swap_penalty: float, ridge: float) -> tuple[float, np.ndarray]:
+    """(loss, gradient): the mean cross entropy of the labels, the mean squared difference of the scores of sentences and
+    their counterfactuals, and the weights' squares."""
+    g = np.zeros_like(w)
+    p = sigmoid(times(texts, w))
+    add(texts, g, (p - y) / len(y))
+    a, b = sigmoid(times(left, w)), sigmoid(times(right, w))
+    d = 2 * swap_penalty * (a - b) / len(a)
+    add(left, g, d * a * (1 - a))
+    add(right, g, -d * b * (1 - b))
+    g[:-1] += ridge * w[:-1]
+    entropy = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+    return float(entropy + swap_penalty * np.mean((a - b) ** 2) + ridge * (w[:-1] ** 2).sum() / 2), g
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -171,7 +201,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.base))  # at most fit()'s ``most`` weights
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.base))  # weights of a bounded sample's features
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def task(batches):

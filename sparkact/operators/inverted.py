@@ -3,28 +3,31 @@ their terms.
 
 Terms are runs of ASCII letters and digits in lower case and, of runs of Chinese characters, all
 pairs and triples. A posting is a document's key, how often it has the term and how many terms it
-has in all. Sorted by (bucket of the term, term, key) and dealt by ranges, so that the list of a
-very frequent term is made by many tasks, postings are packed into blocks of at most BLOCK: keys
-as differences, all three as bytes of seven bits. A block is a row of a Parquet table that is
+has in all. Postings are packed into blocks of one term and at most BLOCK postings: keys as
+differences, all three as bytes of seven bits. Tasks pack what they read before the only shuffle, which deals blocks
+by ranges of (bucket of the term, term, first key), so that the list of a very frequent term lies in many
+partitions; there small blocks of a term are merged. A block is a row of a Parquet table that is
 partitioned by bucket, so a search opens the folders of its terms' buckets and, by the file's
 statistics on the sorted terms, few row groups of them.
 
-Defined results: ``key`` is a unique long; rows without one are not indexed; a null text has no term but
-counts as a document of length 0; rows that repeat a key have their counts of a term summed, the
-greatest length, and count as several documents. An empty table makes an empty index.
+Defined results: ``key`` is a unique long (rows that repeat one are documents of their own, whose scores add
+up); rows without one are not indexed; a null text has no term but counts as a document of length 0. An
+empty table makes an empty index.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkact.sources.shared import new_path
+from sparkact.sources.shared import new_path, written
 
 BLOCK = 1024
 WORD = "[A-Za-z0-9]+"
@@ -34,7 +37,12 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6  # of a term that more than half of all documents have
 
 BLOCKS = "bucket int, term string, n int, occurrences long, first_key long, keys binary, counts binary, lengths binary"
+MADE = "term string, n int, occurrences long, first_key long, keys binary, counts binary, lengths binary"
 POSTINGS = "term string, key long, tf long, dl long"
+OPENED = ("term", "n", "first_key", "keys", "counts", "lengths")
+BLOCK_SCHEMA = pa.schema([("term", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("first_key", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary())])
+BUCKETED = pa.schema([("bucket", pa.int32()), *BLOCK_SCHEMA])
+FLUSH, SLICE = 1_000_000, 64  # terms that a task packs at a time, rows that it takes at a time
 
 
 def terms(text: Column) -> Column:
@@ -57,25 +65,36 @@ def terms_of(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Each value (not negative) as bytes of seven bits, lowest first; all but its last have bit 7 set."""
-    v = values.astype(np.uint64)
+def sizes_of(v: np.ndarray) -> np.ndarray:
+    """How many bytes of seven bits each value (not negative) takes."""
     size = np.ones(len(v), np.int64)
     rest = v >> np.uint64(7)
     while rest.any():
         size += rest > 0
         rest = rest >> np.uint64(7)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(v) else 0, np.uint8)
+    return size
+
+
+def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The values from each edge to the next as one binary: each value lowest bits first, with bit 7 set in all its bytes
+    but the last."""
+    v = values.astype(np.uint64)
+    size = sizes_of(v)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(int(ends[-1]), np.uint8)
     for j in range(int(size.max(initial=0))):
         has = size > j
         low = (v[has] >> np.uint64(7 * j)) & np.uint64(127)
-        out[(ends - size)[has] + j] = low.astype(np.uint8) | ((size[has] - 1 > j).astype(np.uint8) << 7)
-    return out.tobytes()
+        out[ends[:-1][has] + j] = low.astype(np.uint8) | ((size[has] - 1 > j).astype(np.uint8) << 7)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(ends[edges].astype(np.int32)), pa.py_buffer(out)])
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8)
+def unpacked(column: pa.Array) -> np.ndarray:
+    """All values of all binaries, one after the other."""
+    if not len(column):
+        return np.zeros(0, np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    b = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     if not len(b):
         return np.zeros(0, np.int64)
     last = np.flatnonzero(b < 128)
@@ -84,47 +103,79 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts).view(np.int64)
 
 
-def blocks(batches):
-    """Rows (bucket, term, key, tf, dl), sorted, become blocks; the open block is the only state."""
-    schema = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("first_key", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "lengths"))])
-    open_term, held = None, []
+def cut(names: pa.Array, run: np.ndarray, keys: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings that are sorted by (run, key); ``names`` has each run's term."""
+    if not len(run):
+        return
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    place = np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))
+    starts = np.flatnonzero(place % BLOCK == 0)
+    edges = np.append(starts, len(run))
+    steps = np.concatenate(([0], np.diff(keys)))
+    steps[starts] = 0
+    columns = [names.take(pa.array(run[starts])), pa.array(np.diff(edges).astype(np.int32)), pa.array(np.add.reduceat(tf, starts)), pa.array(keys[starts]), packed(steps, edges), packed(tf, edges), packed(dl, edges)]
+    yield pa.RecordBatch.from_arrays(columns, schema=BLOCK_SCHEMA)
 
-    def made() -> tuple:
-        keys, tf, dl = (np.concatenate([h[i] for h in held]) for i in range(3))
-        return (*open_term, len(keys), int(tf.sum()), int(keys[0]), packed(np.diff(keys)), packed(tf), packed(dl))
 
+def blocks(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (key, terms) become blocks of the postings of about FLUSH terms at a time."""
+    held, size = [], 0
     for batch in batches:
-        bucket, term = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        numbers = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
-        code = np.asarray(batch.column(1).dictionary_encode().indices)
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1, [batch.num_rows])).tolist()
-        rows = []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if lo == hi:
-                continue
-            if (bucket[lo], term[lo]) != open_term:
-                if held:
-                    rows.append(made())
-                open_term, held = (bucket[lo], term[lo]), []
-            while lo < hi:
-                end = min(hi, lo + BLOCK - sum(len(h[0]) for h in held))
-                held.append([x[lo:end] for x in numbers])
-                lo = end
-                if sum(len(h[0]) for h in held) == BLOCK:
-                    rows.append(made())
-                    held = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for at in range(0, batch.num_rows, SLICE):
+            held.append(batch.slice(at, SLICE))
+            size += len(held[-1].column(1).flatten())
+            if size >= FLUSH:
+                yield from blocks_of(held)
+                held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made(), schema, strict=True)], schema=schema)
-
-
-def opened(batches):
-    """The postings of blocks (term, first_key, keys, counts, lengths)."""
+        yield from blocks_of(held)
+
+
+def blocks_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    keys = np.asarray(table["key"]).astype(np.int64)
+    lists = table["terms"].combine_chunks()
+    lengths = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    pair, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * len(keys) + np.repeat(place, lengths), return_counts=True)
+    row = order[pair % len(keys)]
+    yield from cut(coded.dictionary, pair // len(keys), keys[row], tf.astype(np.int64), lengths[row])
+
+
+def postings_of(columns: list[pa.Array]) -> tuple[np.ndarray, ...]:
+    """(block's number, key, tf, dl) of all postings of blocks (n, first_key, keys, counts, lengths)."""
+    n, first = (np.asarray(c).astype(np.int64) for c in columns[:2])
+    owner = np.repeat(np.arange(len(n)), n)
+    steps, tf, dl = map(unpacked, columns[2:])
+    sums = np.cumsum(steps)
+    starts = np.cumsum(n) - n
+    return owner, sums - np.repeat(sums[starts], n) + np.repeat(first, n) if len(n) else sums, tf, dl
+
+
+def merged(batches) -> Iterator[pa.RecordBatch]:
+    """Blocks (bucket, term, n, first_key, keys, counts, lengths), sorted by term, as fewer and fuller ones of the same postings."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term = batch.column(1).dictionary_encode()
+        code = np.asarray(term.indices).astype(np.int64)
+        owner, keys, tf, dl = postings_of(batch.columns[2:])
+        order = np.lexsort((keys, code[owner]))
+        bucket = np.zeros(len(term.dictionary), np.int32)
+        bucket[code] = np.asarray(batch.column(0))
+        for out in cut(term.dictionary, code[owner][order], keys[order], tf[order], dl[order]):
+            own = bucket[np.asarray(pc.index_in(out.column(0), term.dictionary))]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *out.columns], schema=BUCKETED)
+
+
+def opened(batches) -> Iterator[pa.RecordBatch]:
+    """The postings of blocks (term, n, first_key, keys, counts, lengths)."""
     for batch in batches:
-        for term, first, keys, tf, dl in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            key = np.cumsum(np.concatenate(([first], unpacked(keys))))
-            yield pa.RecordBatch.from_arrays([pa.array([term] * len(key)), pa.array(key), pa.array(unpacked(tf)), pa.array(unpacked(dl))], names=["term", "key", "tf", "dl"])
+        owner, keys, tf, dl = postings_of(batch.columns[1:])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys), pa.array(tf), pa.array(dl)], names=["term", "key", "tf", "dl"])
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -146,7 +197,7 @@ class Index:
         return table.where(F.col("bucket").isin(where) & F.col("term").isin(names)) if names else table.limit(0)
 
     def postings(self, names: list[str]) -> DataFrame:
-        return self.blocks(names).select("term", "first_key", "keys", "counts", "lengths").mapInArrow(opened, POSTINGS)
+        return self.blocks(names).select(*OPENED).mapInArrow(opened, POSTINGS)
 
     def totals(self) -> tuple[int, int]:
         """(documents, terms of all documents)."""
@@ -189,22 +240,20 @@ class Index:
         wanted = asked.select("term", bucket_of(F.col("term"), self.buckets).alias("bucket")).distinct()
         found = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/postings").join(wanted, ["bucket", "term"], "left_semi")
         frequencies = found.groupBy("term").agg(F.sum("n").cast("long").alias("df"))
-        return self.weighed(found.select("term", "first_key", "keys", "counts", "lengths").mapInArrow(opened, POSTINGS), asked, frequencies)
+        return self.weighed(found.select(*OPENED).mapInArrow(opened, POSTINGS), asked, frequencies)
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, buckets: int = 64) -> Index:
-    """Index ``docs`` in a folder (a new one in the shared folder by default). Counts are combined
-    in the map tasks; ranges of (bucket, term, key) cut a frequent term's list into tasks."""
+    """Index ``docs`` in a folder (a new one in the shared folder by default)."""
     spark = docs.sparkSession
     path = path or new_path(spark, "index")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.where(F.col(f"`{key}`").isNotNull())
-    rows = named.select(F.col(f"`{key}`").cast("long").alias("key"), terms(F.col(f"`{text}`")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    counted = rows.select("key", "dl", F.explode("terms").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    placed = counted.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "key", "tf", "dl")
-    order = ["bucket", "term", "key"]
-    made = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS)
-    made.write.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(f"{path}/postings")
+    rows = named.select(F.col(f"`{key}`").cast("long").alias("key"), terms(F.col(f"`{text}`")).alias("terms"))
+    made = rows.mapInArrow(blocks, MADE).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    made = written(made, "blocks")  # ranges are sampled: without this all texts would be read and packed twice
+    ranged = made.repartitionByRange(n, "bucket", "term", "first_key").sortWithinPartitions("bucket", "term", "first_key")
+    ranged.select("bucket", *OPENED).mapInArrow(merged, BLOCKS).write.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(f"{path}/postings")
     occurrences = spark.read.schema(BLOCKS).parquet(f"{path}/postings").agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("terms"))
     documents = named.agg(F.count("*").alias("documents"))
     documents.crossJoin(F.broadcast(occurrences)).write.parquet(f"{path}/totals")  # a row and a row

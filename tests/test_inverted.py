@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +34,10 @@ def looped(text):
 def test_codec():
     r = np.random.default_rng(1)
     for v in (np.zeros(0, np.int64), np.arange(300), r.integers(0, 2**62, 1000), np.array([0, 127, 128, 2**63 - 1])):
-        assert (inverted.unpacked(inverted.packed(v)) == v).all()
+        for edges in ([0, len(v)], [0, len(v) // 3, len(v) // 2, len(v)]):
+            got = inverted.packed(v, np.array(edges))
+            assert (inverted.unpacked(got) == v).all() and len(got) == len(edges) - 1
+            assert (inverted.unpacked(got[1:]) == v[edges[1] :]).all()
 
 
 def corpus():
@@ -97,6 +101,24 @@ def test_reads_only_the_terms_folders(spark, index):
     assert index.blocks(names)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
 
 
+def test_pieces_of_a_task_are_merged(monkeypatch):
+    """Small pieces, merged again, have the postings of one piece."""
+    rows = [(k, ["a", "b", "a"] if k % 2 else ["b", "c"]) for k in [5, -3, 8, 0, 2, 2, 7] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["key", "terms"])
+    whole = list(inverted.blocks([batch]))
+    monkeypatch.setattr(inverted, "FLUSH", 50)
+    monkeypatch.setattr(inverted, "SLICE", 3)
+    pieces = list(inverted.blocks([batch]))
+    assert len(pieces) > 5
+    monkeypatch.setattr(inverted, "BLOCK", 32)
+    rows = sorted((r for b in pieces for r in b.to_pylist()), key=lambda r: (r["term"], r["first_key"]))
+    schema = pa.schema([("bucket", pa.int32()), *[inverted.BLOCK_SCHEMA.field(c) for c in inverted.OPENED]])
+    again = list(inverted.merged([pa.RecordBatch.from_pylist([{"bucket": ord(r["term"])} | {c: r[c] for c in inverted.OPENED} for r in rows], schema=schema)]))
+    show = lambda found: sorted(tuple(p.values()) for b in inverted.opened([b.select(list(inverted.OPENED)) for b in found]) for p in b.to_pylist())
+    assert show(again) == show(whole) == show(pieces)
+    assert all(r["bucket"] == ord(r["term"]) and r["n"] <= 32 for b in again for r in b.to_pylist())
+
+
 def test_long_lists_are_cut(index):
     sizes = [r.n for r in index.blocks(["the"]).collect()]
     assert max(sizes) <= inverted.BLOCK and len(sizes) > 1

@@ -20,6 +20,7 @@ from sparkact.operators.inverted import Index, terms
 
 # The least cosine of a candidate, what a chunk of the request's own conversation gains, the constant of the fusion.
 LEAST_COSINE, SAME_CONVERSATION, RRF = 0.20, 0.001, 60
+DIGITS = 9
 CHUNKS_IN_A_BLOCK, REQUESTS_IN_A_BLOCK = 4096, 1024
 SCORED = "query_id long, chunk_id long, score double"
 SCORED_SCHEMA = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
@@ -53,7 +54,7 @@ def best_of_block(chunks: pa.Table, requests: pa.Table, k: int, floor: float) ->
             scores = np.where(lengths > 0, np.einsum("qd,vd->qv", q, v, optimize=False) / lengths, 0.0)
         for i, query in enumerate(asked.tolist()):
             fits = np.flatnonzero(scores[i] >= floor)
-            first = fits[np.lexsort((ids[fits], -scores[i, fits]))[:k]]
+            first = fits[np.lexsort((ids[fits], -np.round(scores[i, fits], DIGITS)))[:k]]
             found.append((np.full(len(first), query), ids[first], scores[i, first]))
     parts = [np.concatenate(c) if found else np.zeros(0) for c in (zip(*found, strict=True) if found else [()] * 3)]
     return pa.Table.from_arrays([pa.array(p, f.type) for p, f in zip(parts, SCORED_SCHEMA, strict=True)], schema=SCORED_SCHEMA)
@@ -61,8 +62,9 @@ def best_of_block(chunks: pa.Table, requests: pa.Table, k: int, floor: float) ->
 
 def merged(partial: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each request out of partial lists, with their rank from 0. The rank's limit
-    works in each task before the rows of a request meet."""
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    works in each task before the rows of a request meet. Scores are compared by nine digits, since the last
+    ones depend on the order in which a sum was made."""
+    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "chunk_id")
     return partial.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
 
 
@@ -115,7 +117,7 @@ def retrieved(index: Index, chunks: DataFrame, requests: DataFrame, scopes: Data
     vectors = by_cosine(allowed.where("vector is not null"), requests.where("q is not null"), scopes, k)
     both = fused(vectors, by_words(index, allowed, requests, scopes, k)).join(allowed.select("chunk_id", "conversation"), "chunk_id").join(requests.select("query_id", "bound"), "query_id")
     boosted = both.withColumn("score", F.col("score") + F.when(F.col("conversation") == F.col("bound"), SAME_CONVERSATION).otherwise(0.0))
-    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
+    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "chunk_id")
     top = boosted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).drop("bound", "conversation")
     hits = top.join(chunks.select("chunk_id", "conversation", "content"), "chunk_id").withColumn("tokens", F.octet_length("content").cast("long"))
     if denied_since is not None:

@@ -77,12 +77,12 @@ CANDIDATES = hybrid.candidates_for(TOP_K)
 HYBRID = f"""{SCAN.replace('doc_id, list_concat', 'chunk_id AS doc_id, list_concat').replace('FROM documents WHERE doc_id IS NOT NULL', 'FROM (SELECT chunk_id, content AS text FROM chunks)').replace('WITH docs', f'WITH {CHUNKS}, docs')},
     asked AS (SELECT DISTINCT query_id, unnest({ALL_TERMS}) AS term FROM requests), needed AS (SELECT query_id, count(*) AS needed FROM asked GROUP BY ALL),
     worded AS (SELECT query_id, doc_id AS chunk_id, sum(weight) AS score FROM asked JOIN weight USING (term) JOIN needed USING (query_id) GROUP BY query_id, doc_id, needed HAVING count(*) = needed),
-    words AS (SELECT w.query_id, chunk_id, row_number() OVER (PARTITION BY w.query_id ORDER BY w.score DESC, chunk_id) - 1 AS rank FROM worded w JOIN allowed USING (chunk_id) JOIN scopes s ON s.query_id = w.query_id AND s.conversation = allowed.conversation QUALIFY rank < {CANDIDATES}),
+    words AS (SELECT w.query_id, chunk_id, row_number() OVER (PARTITION BY w.query_id ORDER BY round(w.score, 9) DESC, chunk_id) - 1 AS rank FROM worded w JOIN allowed USING (chunk_id) JOIN scopes s ON s.query_id = w.query_id AND s.conversation = allowed.conversation QUALIFY rank < {CANDIDATES}),
     pairs AS (SELECT query_id, chunk_id, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS score FROM requests JOIN scopes USING (query_id) JOIN allowed USING (conversation)),
-    vectors AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM pairs WHERE score >= {hybrid.LEAST_COSINE} QUALIFY rank < {CANDIDATES}),
+    vectors AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM pairs WHERE score >= {hybrid.LEAST_COSINE} QUALIFY rank < {CANDIDATES}),
     fused AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank + 1)) AS score FROM (FROM words UNION ALL FROM vectors) GROUP BY ALL),
     boosted AS (SELECT f.query_id, f.chunk_id, a.conversation, a.content, f.score + CASE WHEN a.conversation = r.bound THEN {hybrid.SAME_CONVERSATION} ELSE 0 END AS score FROM fused f JOIN allowed a USING (chunk_id) JOIN requests r USING (query_id)),
-    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM boosted QUALIFY rank <= {TOP_K}),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM boosted QUALIFY rank <= {TOP_K}),
     hits AS (SELECT query_id, rank, chunk_id, conversation, score, strlen(content) AS tokens, sum(strlen(content)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM top WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))"""
 
 

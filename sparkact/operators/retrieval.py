@@ -3,15 +3,21 @@ rank fusion and size budgets."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from sparkact.functions import nearest as near
 from sparkact.functions import text as tx
 from sparkact.functions import vectors as vec
 from sparkact.functions.names import fresh
 
 RRF = 60
+VECTORS_IN_A_BLOCK, QUERIES_IN_A_BLOCK = 4096, 4096
 
 
 def keyword_scores(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
@@ -50,7 +56,7 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", c
     """(query_id, key, score, rank): for each query vector (columns query_id, q) the ``k`` vectors
     of greatest cosine, smaller keys first among equals; vectors of another length are skipped.
     All pairs are scored as they stream by; the limit on the rank leaves ``k`` rows of each query
-    and task before these are grouped by query."""
+    and task before these are grouped by query. For few queries; :func:`nearest_each` takes many."""
     rows = vectors.select(key, F.col(column).alias("_v"), vec.norm(F.col(column)).alias("_n"))
     asked = query.select("query_id", "q", vec.norm(F.col("q")).alias("_m"))
     lengths = F.col("_n") * F.col("_m")
@@ -61,6 +67,30 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", c
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_each(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """The same rows as :func:`nearest`, for a table of queries of any size: vectors and queries are dealt into blocks of a
+    bounded size, a task scores a block of each by one product of matrices and keeps ``k`` rows a query."""
+    n = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = lambda size: F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")
+    sizes = F.broadcast(vectors.agg(parts(VECTORS_IN_A_BLOCK).alias("_cs")).crossJoin(query.agg(parts(QUERIES_IN_A_BLOCK).alias("_rs"))))  # a row
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c, by: F.pmod(F.xxhash64(c), F.col(by)).cast("int")
+    left = vectors.select(F.col(key).alias("_id"), F.col(column).alias("_v")).crossJoin(sizes).select("_id", "_v", own("_id", "_cs").alias("_c"), every("_rs").alias("_r"))
+    right = query.select("query_id", "q").crossJoin(sizes).select("query_id", "q", every("_cs").alias("_c"), own("query_id", "_rs").alias("_r"))
+    out = StructType([StructField("query_id", query.schema["query_id"].dataType), StructField(key, vectors.schema[key].dataType), StructField("score", DoubleType())])
+
+    def task(v: pa.Table, q: pa.Table) -> pa.Table:
+        order = np.empty(v.num_rows, np.int64)
+        order[np.asarray(pc.sort_indices(v["_id"], null_placement="at_start"))] = np.arange(v.num_rows)
+        i, j, score = near.best(order, v["_v"], q["q"], k)
+        return pa.Table.from_arrays([q["query_id"].take(pa.array(i)), v["_id"].take(pa.array(j)), score], names=["query_id", key, "score"])
+
+    block = ["_c", "_r"]
+    scored = left.repartition(n, *block).groupBy(*block).cogroup(right.repartition(n, *block).groupBy(*block)).applyInArrow(task, out)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows with their rank from 1."""
     top = df.orderBy(*order).limit(limit)

@@ -291,7 +291,7 @@ def knn_topk(spark, d):
 def knn_topk_each(spark, d):
     e = read(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return longs(ret.nearest(e, asked, 20).withColumn("score", F.round("score", 6)), "rank")
+    return longs(ret.nearest_each(e, asked, 20).withColumn("score", F.round("score", 6)), "rank")
 
 
 @query(f"{BM25}, {KNN}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 30), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM v QUALIFY rank <= 30) SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lists FROM (FROM a UNION ALL FROM b) GROUP BY id")

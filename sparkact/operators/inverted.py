@@ -43,6 +43,8 @@ OPENED = ("term", "n", "first_key", "keys", "counts", "lengths")
 BLOCK_SCHEMA = pa.schema([("term", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("first_key", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary())])
 BUCKETED = pa.schema([("bucket", pa.int32()), *BLOCK_SCHEMA])
 FLUSH, SLICE = 1_000_000, 64  # terms that a task packs at a time, rows that it takes at a time
+READ, OPEN, MERGE = 4_000_000, 200_000, 400_000  # bytes of text cut into terms, postings opened and merged at a time
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 else 0 for c in range(256)], np.uint8)
 
 
 def terms(text: Column) -> Column:
@@ -65,6 +67,48 @@ def terms_of(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def tokenised(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) become rows (key, terms) with the terms of :func:`terms`."""
+    for batch in batches:
+        texts = batch.column(1).cast(pa.string()).fill_null("")
+        size = np.asarray(pc.binary_length(texts)).astype(np.int64)
+        edges = edges_of(size, READ)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists_of(texts.slice(a, b - a))], names=["key", "terms"])
+
+
+def edges_of(size: np.ndarray, most: int) -> list[int]:
+    """Where to cut rows of these sizes, so that a piece has about ``most`` in all or one row."""
+    part = (np.cumsum(size) - size) // most
+    return [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(size)]
+
+
+def lists_of(texts: pa.Array) -> pa.ListArray:
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    low = LOWER[raw]
+    inside = np.concatenate(([False], low > 0, [False]))
+    opens = np.zeros(len(raw) + 1, bool)  # where a text begins
+    opens[at] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | opens))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | opens))
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(low[low > 0]))
+    counts = np.diff(np.searchsorted(starts, at))
+    wide = np.concatenate(([0], np.cumsum(((raw >= 0xE3) & (raw <= 0xE9)) | (raw == 0xEF))))  # bytes that Chinese characters begin with
+    more, owner = [], []
+    for i in np.flatnonzero(np.diff(wide[at])).tolist():
+        found = [run[j : j + w] for run in re.findall(CJK, raw[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")) for w in WIDTHS for j in range(len(run) - w + 1)]
+        more += found
+        owner += [i] * len(found)
+    if more:
+        rows = np.concatenate((np.repeat(np.arange(len(counts)), counts), owner))
+        flat = pa.concat_arrays([flat, pa.array(more, pa.string())]).take(pa.array(np.argsort(rows, kind="stable")))
+        counts = counts + np.bincount(owner, minlength=len(counts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat)
+
+
 def sizes_of(v: np.ndarray) -> np.ndarray:
     """How many bytes of seven bits each value (not negative) takes."""
     size = np.ones(len(v), np.int64)
@@ -155,11 +199,17 @@ def postings_of(columns: list[pa.Array]) -> tuple[np.ndarray, ...]:
     return owner, sums - np.repeat(sums[starts], n) + np.repeat(first, n) if len(n) else sums, tf, dl
 
 
+def pieces(batches, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks, of which ``column`` has the sizes, in pieces of about ``most`` postings, whatever the batches hold."""
+    for batch in batches:
+        edges = edges_of(np.asarray(batch.column(column)).astype(np.int64), most)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def merged(batches) -> Iterator[pa.RecordBatch]:
     """Blocks (bucket, term, n, first_key, keys, counts, lengths), sorted by term, as fewer and fuller ones of the same postings."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in pieces(batches, 2, MERGE):
         term = batch.column(1).dictionary_encode()
         code = np.asarray(term.indices).astype(np.int64)
         owner, keys, tf, dl = postings_of(batch.columns[2:])
@@ -172,10 +222,11 @@ def merged(batches) -> Iterator[pa.RecordBatch]:
 
 
 def opened(batches) -> Iterator[pa.RecordBatch]:
-    """The postings of blocks (term, n, first_key, keys, counts, lengths)."""
-    for batch in batches:
-        owner, keys, tf, dl = postings_of(batch.columns[1:])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys), pa.array(tf), pa.array(dl)], names=["term", "key", "tf", "dl"])
+    """The postings of blocks (term, n, first_key, keys, counts, lengths), with what else a block's row has."""
+    for batch in pieces(batches, 1, OPEN):
+        owner, keys, tf, dl = postings_of(batch.columns[1:6])
+        own = [c.take(pa.array(owner)) for c in (batch.column(0), *batch.columns[6:])]
+        yield pa.RecordBatch.from_arrays([own[0], pa.array(keys), pa.array(tf), pa.array(dl), *own[1:]], names=["term", "key", "tf", "dl", *batch.schema.names[6:]])
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -226,12 +277,27 @@ class Index:
 
     def weighed(self, postings: DataFrame, asked: DataFrame, frequencies: DataFrame, sent=lambda df: df) -> DataFrame:
         """(query_id, key, score, hits) of the postings of ``asked`` (query_id, term)."""
+        idf, part = self.formulas()
+        weights = asked.join(frequencies, "term").select("query_id", "term", idf.alias("idf"))
+        return postings.join(sent(weights), "term").groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("hits"))
+
+    def formulas(self) -> tuple[Column, Column]:
+        """(idf of ``df``, what a posting with that ``idf`` adds to a score)."""
         n, total = self.totals()
         raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = asked.join(frequencies, "term").select("query_id", "term", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
         mean = total / n if n else 1.0
         part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
-        return postings.join(sent(weights), "term").groupBy("query_id", "key").agg(F.sum(part).alias("score"), F.count("*").alias("hits"))
+        return F.when(raw > 0, raw).otherwise(LEAST_IDF), part
+
+    def parts(self, names: DataFrame) -> DataFrame:
+        """(term, key, part): what each posting of the terms ``names`` (term, unique) adds to a score. Terms meet
+        blocks, not postings, so that a frequent term is no row of one task."""
+        idf, part = self.formulas()
+        wanted = names.select("term", bucket_of(F.col("term"), self.buckets).alias("bucket"))
+        table = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/postings")
+        frequencies = table.join(wanted, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("idf"))
+        found = table.join(frequencies, ["bucket", "term"]).select(*OPENED, "idf")
+        return found.mapInArrow(opened, POSTINGS + ", idf double").select("term", "key", part.alias("part"))
 
     def scored_each(self, queries: DataFrame, text: str = "text", query_key: str = "query_id") -> DataFrame:
         """(query_id, key, score, hits) for a table of queries of any size. Their distinct terms meet the blocks by
@@ -249,8 +315,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     path = path or new_path(spark, "index")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.where(F.col(f"`{key}`").isNotNull())
-    rows = named.select(F.col(f"`{key}`").cast("long").alias("key"), terms(F.col(f"`{text}`")).alias("terms"))
-    made = rows.mapInArrow(blocks, MADE).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    rows = named.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    made = rows.mapInArrow(lambda batches: blocks(tokenised(batches)), MADE).withColumn("bucket", bucket_of(F.col("term"), buckets))
     made = written(made, "blocks")  # ranges are sampled: without this all texts would be read and packed twice
     ranged = made.repartitionByRange(n, "bucket", "term", "first_key").sortWithinPartitions("bucket", "term", "first_key")
     ranged.select("bucket", *OPENED).mapInArrow(merged, BLOCKS).write.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(f"{path}/postings")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -127,3 +128,31 @@ def test_long_lists_are_cut(index):
 def test_empty(spark):
     empty = inverted.build(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.totals() == (0, 0) and empty.scored("a").count() == empty.any_of("a").count() == 0
+
+
+def test_memory_does_not_follow_the_batch():
+    """A batch of many full blocks is opened and merged piece by piece."""
+    n, size = 3000, 1024
+    edges = np.arange(n + 1) * size
+    column = inverted.packed(np.ones(n * size, np.int64), edges)
+    row = [pa.array(["t"] * n), pa.array([size] * n, pa.int32()), pa.array(edges[:-1]), column, column, column]
+    blocks = pa.RecordBatch.from_arrays(row, names=list(inverted.OPENED))
+    got = list(inverted.opened([blocks]))
+    assert sum(b.num_rows for b in got) == n * size and max(b.num_rows for b in got) <= inverted.OPEN + size
+    tracemalloc.start()
+    for _ in inverted.opened([blocks]):
+        pass
+    for _ in inverted.merged([pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), *row], names=["bucket", *inverted.OPENED])]):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_texts_are_cut_in_tasks_as_in_columns(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "READ", 50)
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "B", "7", " ", "K", "İ", "é", "知", "识", "库", "﨑", "한", "🙂", "\x00", "_"]) for _ in range(r.choice([0, 1, 9, 60]))) for _ in range(500)] + [None, "", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["key", "text"]).slice(3)
+    got = {k: sorted(t) for b in inverted.tokenised([batch]) for k, t in zip(b["key"].to_pylist(), b["terms"].to_pylist(), strict=True)}
+    want = {x.k: sorted(x.t) for x in spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", inverted.terms(F.col("text")).alias("t")).collect()}
+    assert got == {k: t for k, t in want.items() if k >= 3} == {k: sorted(looped(texts[k])) for k in range(3, len(texts))}

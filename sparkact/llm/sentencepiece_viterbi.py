@@ -48,6 +48,13 @@ class Pieces:
         self.scores = {m.id_to_piece(i): m.get_score(i) for i in usual}
         self.longest = max(map(len, self.ids), default=1)
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.trie: dict = {}  # character -> [score or None, id, what may follow]
+        for p, i in self.ids.items():
+            at = self.trie
+            for ch in p[:-1]:
+                at = at.setdefault(ch, [None, -1, {}])[2]
+            if p:
+                at.setdefault(p[-1], [None, -1, {}])[:2] = self.scores[p], i
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.unknown = m.unk_id()
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
@@ -115,9 +122,41 @@ class Pieces:
             end = start
         return out[::-1]
 
+    def short(self, word: str) -> list[int]:
+        """Ids of a word without a window: the same search over a tree of the pieces' characters."""
+        n, trie, unknown = len(word), self.trie, self.unknown_score
+        best, back, which = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for at in range(n):
+            score, end, next_ = best[at], at, trie
+            for ch in word[at:]:
+                hit = next_.get(ch)
+                if hit is None:
+                    break
+                end += 1
+                s, i, next_ = hit
+                if s is not None and score + s > best[end]:
+                    best[end], back[end], which[end] = score + s, at, i
+            hit = trie.get(word[at])
+            if (hit is None or hit[0] is None) and score + unknown > best[at + 1]:
+                best[at + 1], back[at + 1], which[at + 1] = score + unknown, at, -1
+        out: list[int] = []
+        end = n
+        while end:
+            start = back[end]
+            if which[end] >= 0:
+                out.append(which[end])
+            elif self.bytes:
+                out += [self.bytes[b] for b in reversed(word[start:end].encode())]
+            else:
+                out.append(self.unknown)
+            end = start
+        return out[::-1]
+
     def packed(self, word: str) -> bytes:
-        out = b"".join([array("I", run).tobytes() for run in self.search(word)])
-        if len(word) < 64:
+        short = len(word) < 64
+        out = b"".join([array("I", run).tobytes() for run in ([self.short(word)] if short else self.search(word))])
+        if short:
             if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[word] = out
@@ -125,7 +164,10 @@ class Pieces:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        text = self.normal(text or "")
+        return self.of_normal(self.normal(text or ""))
+
+    def of_normal(self, text: str) -> bytes:
+        """Ids of a text that is normalised."""
         cut = WORD.findall(text) if self.words else [text]
         get, packed = self.cache.get, self.packed
         return b"".join([get(w) or packed(w) for w in cut])
@@ -171,9 +213,10 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
         pieces = Pieces(model)
 
         def row(doc_id, text):
-            ids = pieces.encode(text)
+            normal = pieces.normal(text or "")
+            ids = pieces.of_normal(normal)
             back = pieces.decode(ids)
-            same = back == pieces.normal(text or "").replace("▁", " ").removeprefix(" ")
+            same = back == normal.replace("▁", " ").removeprefix(" ")
             return doc_id, len(ids) // 4, zlib.crc32(ids), sha256(back.encode()).hexdigest(), same
 
         yield from batched(batches, row, schema)

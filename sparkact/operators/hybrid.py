@@ -4,7 +4,7 @@ Requests (query_id, text, q, bound) and their scopes (query_id, conversation) me
 (chunk_id, conversation, content, vector) by conversation only, so no pair outside a scope is made.
 Scores of vectors are computed in blocks: a conversation's chunks and requests are salted into
 blocks of a bounded size, a task scores one block of each against the other and keeps the best k of
-each request; the partial lists are merged by request, k rows of each task at most. No limit drops a
+each request; the partial lists are merged by request, k rows of each task at most. Words are answered in such blocks too. No limit drops a
 candidate that would be among the best.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkact.functions import nearest as near
 from sparkact.operators.inverted import Index, terms
 
 # The least cosine of a candidate, what a chunk of the request's own conversation gains, the constant of the fusion.
@@ -23,6 +24,8 @@ LEAST_COSINE, SAME_CONVERSATION, RRF = 0.20, 0.001, 60
 DIGITS = 9
 CHUNKS_IN_A_BLOCK, REQUESTS_IN_A_BLOCK = 4096, 1024
 SCORED = "query_id long, chunk_id long, score double"
+WORDED = "words string, conversation string, chunk_id long, score double"
+WORDED_SCHEMA = pa.schema([("words", pa.string()), ("conversation", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 SCORED_SCHEMA = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -30,41 +33,47 @@ def candidates_for(top_k: int) -> int:
     return min(max(top_k * 4, 20), 48)
 
 
-def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.asarray(flat.flatten(), np.float64).reshape(-1, width)
-
-
-def by_width(ids: np.ndarray, vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Vectors of equal length together; those of another length never meet."""
-    sizes = np.array([-1 if v is None else len(v) for v in vectors.to_pylist()])
-    return {int(n): (ids[sizes == n], matrix(vectors.filter(pa.array(sizes == n)), int(n))) for n in np.unique(sizes) if n > 0}
-
-
 def best_of_block(chunks: pa.Table, requests: pa.Table, k: int, floor: float) -> pa.Table:
     """The best ``k`` chunks of a block for each of its requests, smaller ids first among equals."""
+    ids = np.asarray(chunks["chunk_id"]).astype(np.int64)
+    i, j, score = near.best(ids, chunks["vector"], requests["q"], k, floor, DIGITS)
+    return pa.Table.from_arrays([requests["query_id"].take(pa.array(i)), pa.array(ids[j], pa.int64()), score], schema=SCORED_SCHEMA)
+
+
+def best_of_words(postings: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` chunks of a block that have all terms, for each list of terms ``asked`` (words, joined by spaces)."""
+    coded = postings["term"].combine_chunks().dictionary_encode()
+    code, keys, parts = np.asarray(coded.indices), np.asarray(postings["key"]), np.asarray(postings["part"])
+    order = np.lexsort((keys, code))
+    keys, parts = keys[order], parts[order]
+    ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+    place = {t: slice(int(e - n), int(e)) for t, e, n in zip(coded.dictionary.to_pylist(), ends, np.diff(ends, prepend=0), strict=True)}
     found = []
-    left = by_width(np.asarray(chunks["chunk_id"]), chunks["vector"])
-    for width, (asked, q) in by_width(np.asarray(requests["query_id"]), requests["q"]).items():
-        if width not in left:
+    for words, conversation in zip(asked["words"].to_pylist(), asked["conversation"].to_pylist(), strict=True):
+        names = words.split(" ")
+        if not all(n in place for n in names):
             continue
-        ids, v = left[width]
-        lengths = np.sqrt(np.einsum("qd,qd->q", q, q))[:, None] * np.sqrt(np.einsum("vd,vd->v", v, v))[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.where(lengths > 0, np.einsum("qd,vd->qv", q, v, optimize=False) / lengths, 0.0)
-        for i, query in enumerate(asked.tolist()):
-            fits = np.flatnonzero(scores[i] >= floor)
-            first = fits[np.lexsort((ids[fits], -np.round(scores[i, fits], DIGITS)))[:k]]
-            found.append((np.full(len(first), query), ids[first], scores[i, first]))
-    parts = [np.concatenate(c) if found else np.zeros(0) for c in (zip(*found, strict=True) if found else [()] * 3)]
-    return pa.Table.from_arrays([pa.array(p, f.type) for p, f in zip(parts, SCORED_SCHEMA, strict=True)], schema=SCORED_SCHEMA)
-
-
-def merged(partial: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each request out of partial lists, with their rank from 0. The rank's limit
+        first, *rest = sorted((place[n] for n in names), key=lambda x: x.stop - x.start)
+        hits, score = keys[first], parts[first]
+        for x in rest:  # rarest first, so that a search costs little
+            at = np.searchsorted(keys[x], hits)
+            fits = keys[x][np.minimum(at, x.stop - x.start - 1)] == hits
+            hits, score = hits[fits], score[fits] + parts[x][at[fits]]
+        top = np.lexsort((hits, -np.round(score, DIGITS)))[:k]
+        if len(top):
+            found.append((words, conversation, hits[top], score[top]))
+    n = [len(x[2]) for x in found]
+    owner = pa.array(np.repeat(np.arange(len(n)), n).astype(np.int64))
+    named = [pa.array([x[c] for x in found], WORDED_SCHEMA.field(c).type).take(owner) for c in (0, 1)]
+    ids, scores = (np.concatenate([x[c] for x in found]) if found else [] for c in (2, 3))
+    return pa.Table.from_arrays([*named, pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], schema=WORDED_SCHEMA)
+
+
+def merged(partial: DataFrame, k: int, *by: str) -> DataFrame:
+    """The best ``k`` of each request (or of each ``by``) out of partial lists, with their rank from 0. The rank's limit
     works in each task before the rows of a request meet. Scores are compared by nine digits, since the last
     ones depend on the order in which a sum was made."""
-    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "chunk_id")
+    best = W.partitionBy(*(by or ("query_id",))).orderBy(F.desc(F.round("score", DIGITS)), "chunk_id")
     return partial.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
 
 
@@ -85,11 +94,21 @@ def by_cosine(chunks: DataFrame, requests: DataFrame, scopes: DataFrame, k: int,
 
 
 def by_words(index: Index, chunks: DataFrame, requests: DataFrame, scopes: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the ``k`` chunks in a request's scope of greatest BM25 that have all terms of its text."""
-    needed = requests.select("query_id", F.size(F.array_distinct(terms(F.col("text")))).alias("needed"))
-    found = index.scored_each(requests).join(needed, "query_id").where("hits = needed").select("query_id", F.col("key").alias("chunk_id"), "score")
-    seen = found.join(chunks.select("chunk_id", "conversation"), "chunk_id").join(scopes.select("query_id", "conversation").distinct(), ["query_id", "conversation"], "left_semi")
-    return merged(seen.select("query_id", "chunk_id", "score"), k)
+    """(query_id, chunk_id, score, rank): the ``k`` chunks in a request's scope of greatest BM25 that have all terms of its text.
+
+    Requests of the same terms ask a conversation once. The postings of a block of its chunks meet these lists of terms in one
+    task, which keeps ``k`` chunks of each; so no row is made for a chunk that has a term, nor for all that have all."""
+    asked = requests.select("query_id", F.array_join(F.array_sort(F.array_distinct(terms(F.col("text")))), " ").alias("words")).where("words <> ''")
+    placed = asked.join(scopes.select("query_id", "conversation").distinct(), "query_id")
+    wanted = asked.select(F.explode(F.split("words", " ")).alias("term")).distinct()
+    sizes = chunks.groupBy("conversation").agg(F.ceil(F.count("*") / CHUNKS_IN_A_BLOCK).cast("int").alias("cs"))
+    places = chunks.select("chunk_id", "conversation").join(sizes, "conversation").select(F.col("chunk_id").alias("key"), "conversation", F.pmod(F.xxhash64("chunk_id"), F.col("cs")).cast("int").alias("c"))
+    left = index.parts(wanted).join(places, "key").select("conversation", "c", "term", "key", "part")
+    right = placed.select("words", "conversation").distinct().join(sizes, "conversation").select("conversation", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), "words")
+    task = lambda x, y: best_of_words(x, y, k)
+    partial = left.groupBy("conversation", "c").cogroup(right.groupBy("conversation", "c")).applyInArrow(task, WORDED)
+    found = merged(partial, k, "words", "conversation").drop("rank")
+    return merged(placed.join(found, ["words", "conversation"]).select("query_id", "chunk_id", "score"), k)
 
 
 def fused(vectors: DataFrame, words: DataFrame) -> DataFrame:

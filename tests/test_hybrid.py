@@ -70,3 +70,22 @@ def test_no_pair_outside_a_scope_is_made(spark):
     frames = [spark.createDataFrame(x, s) for x, s in ((chunks, CHUNK), (requests, REQUEST), (scopes, "query_id long, conversation string"))]
     plan = hybrid.by_cosine(frames[0], frames[1], frames[2].where(F.lit(True)), 5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_words_equal_all_pairs_without_making_them(spark, monkeypatch):
+    """Requests of the same words are answered once a block; no task's rows grow with requests times chunks."""
+    monkeypatch.setattr(hybrid, "CHUNKS_IN_A_BLOCK", 40)
+    chunks, requests, scopes = made(random.Random(7))
+    requests = [(q, ["AB", "c de", "f f ab", "", None, "gone c"][q % 6], v, b) for q, _, v, b in requests]
+    frames = [spark.createDataFrame(x, s) for x, s in ((chunks, CHUNK), (requests, REQUEST), (scopes, "query_id long, conversation string"))]
+    index = inverted.build(frames[0], "chunk_id", "content", buckets=4)
+    found = hybrid.by_words(index, *frames, 5)
+    every = index.scored_each(frames[1]).collect()
+    place = {i: c for i, c, _, _ in chunks}
+    needed = {q: len(set((t or "").lower().split())) for q, t, _, _ in requests}
+    want = {}
+    for q in needed:
+        fits = sorted((-round(r.score, 9), r.key) for r in every if r.query_id == q and r.hits == needed[q] and (q, place[r.key]) in scopes)
+        want |= {(q, i): key for i, (_, key) in enumerate(fits[:5])}
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in found.collect()} == want and len(want) > 50
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()

@@ -1,8 +1,10 @@
 """Chat archives as a data source: folders of a manifest, and for each conversation it declares two
 JSON files, ``meta`` and ``messages``.
 
-``spark.read.format("chat_archive").load(path)`` plans one partition a declared conversation, under
-``path`` itself or, without a manifest there, under each of its sub-folders. A task reads its file
+``spark.read.format("chat_archive").load(path)`` reads the archive in ``path`` itself or, without a manifest there, those
+in its sub-folders. A small archive's partitions are its declared conversations; of a large one, or of sub-folders, they
+are slices of the manifest (a slice for each SLICE bytes of it, MOST_SLICES at most), which their tasks read, so that neither
+tasks nor what the driver holds grow with the conversations. A task reads each file
 piece by piece and hands on messages in batches of BATCH rows, so that a conversation of any length
 needs the memory of one message and one batch. Everything is checked as the manifest says and
 fails closed: unknown, repeated or missing fields, kinds and versions, paths that leave the
@@ -42,6 +44,7 @@ NEEDED = {"type", "sender", "createdAt"}
 MAX_STRING, BATCH = 64 * 1024, 256
 MAX_ELEMENT = 4 * 1024 * 1024  # of one message in all, which bounds what is held of a damaged file
 PIECE = 256 * 1024
+SLICE, MOST_SLICES = 64 * 1024, 64  # bytes of a manifest a partition, partitions an archive
 
 ROWS = "export_id string, account string, conversation string, source_ordinal long, message_id string, kind string, sender string, created_at_ms long, content string, refers_to string"
 ROWS_SCHEMA = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in ROWS.split(", "))])
@@ -279,6 +282,23 @@ class Member(InputPartition):
         return n, None
 
 
+@dataclass
+class Slice(InputPartition):
+    """Every ``of``-th declared conversation of an archive, from the ``number``-th on."""
+
+    uri: str
+    number: int
+    of: int
+
+    def members(self) -> list[Member]:
+        return members_of(self.uri)[self.number :: self.of]
+
+
+def members_of(uri: str) -> list[Member]:
+    m = manifest_of(Folder(uri))
+    return [Member(uri, m["exportId"], m["account"]["stableId"], c["stableId"], c["metaPath"], c["messagesPath"]) for c in m["scope"]["conversations"]]
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held = []
     for r in rows:
@@ -296,25 +316,28 @@ class Reader(DataSourceReader):
         demand(bool(self.path), "a path is needed")
         demand(self.what in ("messages", "members") and self.mode in ("failfast", "permissive"), "unknown option")
 
-    def partitions(self) -> list[Member]:
+    def partitions(self) -> list[Member | Slice | None]:
         from pyarrow import fs
 
         system, root = Folder(self.path).resolved()
         below = system.get_file_info(fs.FileSelector(root))
-        folders = [self.path] if any(f.base_name == "manifest.json" for f in below) else [f"{self.path.rstrip('/')}/{f.base_name}" for f in sorted(below, key=lambda f: f.base_name) if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
-        out = []
-        for uri in folders:
-            m = manifest_of(Folder(uri))
-            out += [Member(uri, m["exportId"], m["account"]["stableId"], c["stableId"], c["metaPath"], c["messagesPath"]) for c in m["scope"]["conversations"]]
-        return out or [None]
-
-    def read(self, member: Member | None) -> Iterator[pa.RecordBatch]:
-        if member is None:
-            return
+        size = next((f.size for f in below if f.base_name == "manifest.json"), None)
+        if size is not None:
+            return (members_of(self.path) or [None]) if size <= SLICE // 4 else self.slices(self.path, size)
+        folders = [f for f in sorted(below, key=lambda f: f.base_name) if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+        found = system.get_file_info([f"{f.path}/manifest.json" for f in folders])
+        return [s for f, m in zip(folders, found, strict=True) for s in self.slices(f"{self.path.rstrip('/')}/{f.base_name}", m.size or 0)] or [None]
+
+    def slices(self, uri: str, size: int) -> list[Slice]:
+        n = min(max(-(-size // SLICE), 1), MOST_SLICES)
+        return [Slice(uri, i, n) for i in range(n)]
+
+    def read(self, part: Member | Slice | None) -> Iterator[pa.RecordBatch]:
+        members = [] if part is None else part.members() if isinstance(part, Slice) else [part]
         if self.what == "members":
-            yield from batches(iter([(member.export_id, member.account, member.conversation, *member.checked())]), MEMBERS_SCHEMA)
-        elif self.mode == "failfast" or member.checked()[1] is None:
-            yield from batches(member.rows(), ROWS_SCHEMA)
+            yield from batches(((m.export_id, m.account, m.conversation, *m.checked()) for m in members), MEMBERS_SCHEMA)
+        else:
+            yield from batches((r for m in members if self.mode == "failfast" or m.checked()[1] is None for r in m.rows()), ROWS_SCHEMA)
 
 
 class ChatArchive(DataSource):

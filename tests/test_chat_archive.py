@@ -143,3 +143,19 @@ def test_a_million_messages_in_little_memory():
     out = subprocess.run([sys.executable, "-c", MILLION], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=300)
     n, mb = map(int, out.stdout.split())
     assert n == 1_000_000 and mb < 300
+
+
+def test_partitions_do_not_grow_with_conversations(spark, tmp_path, monkeypatch):
+    """Large archives and sub-folders are read by slices of their manifests, each conversation once."""
+    rows = [(c, i, "user", f"text {c} {i}") for c in range(400) for i in range(c % 3 + 1)]
+    d = spark.createDataFrame(rows, "conversation long, ordinal long, role string, content string").selectExpr("*", "ordinal * 1000 AS created_at_ms")
+    arc.write_archive(d, str(tmp_path / "many"), "e", "a")
+    one = archive(tmp_path / "one", names=[f"c{i}" for i in range(300)])
+    for path, want in ((str(tmp_path / "many"), sorted((str(c), i, t) for c, i, _, t in rows)), (one, sorted((f"c{c}", i, f"text {i}") for c in range(300) for i in range(3)))):
+        got = arc.read_archive(spark, path)
+        assert sorted((r.conversation, r.source_ordinal, r.content) for r in got.collect()) == want and got.rdd.getNumPartitions() <= 4
+        monkeypatch.setattr(arc, "SLICE", 2048)  # of this process: planning and reading without Spark
+        reader = arc.Reader({"path": path})
+        parts = reader.partitions()
+        assert 10 <= len(parts) < 100 and sorted((r["conversation"], r["source_ordinal"], r["content"]) for p in parts for b in reader.read(p) for r in b.to_pylist()) == want
+        monkeypatch.undo()

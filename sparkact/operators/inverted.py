@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkact.sources.shared import new_path, written
@@ -40,10 +41,15 @@ BLOCKS = "bucket int, term string, n int, occurrences long, first_key long, keys
 MADE = "term string, n int, occurrences long, first_key long, keys binary, counts binary, lengths binary"
 POSTINGS = "term string, key long, tf long, dl long"
 OPENED = ("term", "n", "first_key", "keys", "counts", "lengths")
+DEALT = "shard int, terms array<string>, idfs array<double>, sizes array<int>, firsts array<long>, keys binary, counts binary, lengths binary"
+BEST = "words string, key long, score double, hits long"
 BLOCK_SCHEMA = pa.schema([("term", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("first_key", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary())])
 BUCKETED = pa.schema([("bucket", pa.int32()), *BLOCK_SCHEMA])
+BEST_SCHEMA = pa.schema([("words", pa.string()), ("key", pa.int64()), ("score", pa.float64()), ("hits", pa.int64())])
 FLUSH, SLICE = 1_000_000, 64  # terms that a task packs at a time, rows that it takes at a time
 READ, OPEN, MERGE = 4_000_000, 200_000, 400_000  # bytes of text cut into terms, postings opened and merged at a time
+SHARD_TERMS, SHARD_DOCS, SHARD_LISTS = 8_000_000, 16_384, 4096  # terms and documents of a shard on average, lists of terms that meet it in a task
+SENT = 100_000  # terms that are broadcast; more of them meet the blocks by a shuffle
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 else 0 for c in range(256)], np.uint8)
 
 
@@ -229,6 +235,73 @@ def opened(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([own[0], pa.array(keys), pa.array(tf), pa.array(dl), *own[1:]], names=["term", "key", "tf", "dl", *batch.schema.names[6:]])
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    x = keys.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def dealt(batches, shards: int) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, n, first_key, keys, counts, lengths, idf) dealt to shards by their keys: a row for each shard of a
+    piece, with its postings term by term, packed as in a block."""
+    for batch in pieces(batches, 1, OPEN):
+        term = batch.column(0).dictionary_encode()
+        code = np.asarray(term.indices).astype(np.int64)
+        idf = np.zeros(len(term.dictionary))
+        idf[code] = np.asarray(batch.column(6))
+        owner, keys, tf, dl = postings_of(batch.columns[1:6])
+        run = shard_of(keys, shards) * len(idf) + code[owner]
+        order = np.lexsort((keys, run))
+        run, keys, tf, dl = run[order], keys[order], tf[order], dl[order]
+        starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        shard, own = np.divmod(run[starts], len(idf))
+        first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))  # each row's first run
+        offsets = pa.array(np.append(first, len(starts)).astype(np.int32))
+        edges = np.append(starts[first], len(run))
+        steps = np.concatenate(([0], np.diff(keys)))
+        steps[starts] = 0
+        runs = [term.dictionary.take(pa.array(own)), pa.array(idf[own]), pa.array(np.diff(starts, append=len(run)).astype(np.int32)), pa.array(keys[starts])]
+        columns = [pa.array(shard[first].astype(np.int32)), *[pa.ListArray.from_arrays(offsets, x) for x in runs], packed(steps, edges), packed(tf, edges), packed(dl, edges)]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "terms", "idfs", "sizes", "firsts", "keys", "counts", "lengths"])
+
+
+def best_of_shard(rows: pa.Table, asked: pa.Table, mean: float, k: int, digits: int) -> pa.Table:
+    """The best ``k`` documents of a shard, whose postings :func:`dealt` made, for each list of terms ``asked`` (words,
+    joined by spaces). Weights are summed in the order of the words, so that equal texts have equal scores."""
+    rows = rows.combine_chunks()
+    coded = rows["terms"].combine_chunks().flatten().dictionary_encode()
+    codes, parts, done = np.asarray(coded.indices), [], 0
+    edges = edges_of(np.asarray(pc.binary_length(rows["counts"])).astype(np.int64), OPEN)  # bytes, at least one a posting
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        idf, n, first = (rows[c].slice(a, b - a).combine_chunks().flatten() for c in ("idfs", "sizes", "firsts"))
+        owner, keys, tf, dl = postings_of([n, first, *(rows[c].slice(a, b - a).combine_chunks() for c in ("keys", "counts", "lengths"))])
+        parts.append((codes[done : done + len(n)][owner], keys, np.asarray(idf)[owner] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / mean))))
+        done += len(n)
+    found = []
+    if parts:
+        code, keys, part = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(code, kind="stable")
+        ids, doc = np.unique(keys, return_inverse=True)
+        doc, part = doc[order], part[order]
+        ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary))).tolist()
+        place = {t: slice(a, b) for t, a, b in zip(coded.dictionary.to_pylist(), [0, *ends[:-1]], ends, strict=True)}
+        for i, words in enumerate(asked["words"].to_pylist()):
+            at = [place[t] for t in words.split(" ") if t in place]
+            if not at:
+                continue
+            hit = np.concatenate([doc[x] for x in at])
+            hits = np.bincount(hit, minlength=len(ids))
+            score = np.floor(np.bincount(hit, np.concatenate([part[x] for x in at]), len(ids)) * 10.0**digits + 0.5) / 10.0**digits
+            some = np.flatnonzero(hits)
+            if len(some) > k:
+                some = some[score[some] >= np.partition(score[some], -k)[-k]]
+            some = some[np.lexsort((ids[some], -score[some]))[:k]]
+            found.append((np.full(len(some), i), ids[some], score[some], hits[some]))
+    own, *columns = map(np.concatenate, zip(*found, strict=True)) if found else ([], [], [], [])
+    return pa.Table.from_arrays([asked["words"].take(pa.array(own, pa.int64())), *[pa.array(c, f.type) for c, f in zip(columns, list(BEST_SCHEMA)[1:], strict=True)]], schema=BEST_SCHEMA)
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -289,25 +362,59 @@ class Index:
         part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
         return F.when(raw > 0, raw).otherwise(LEAST_IDF), part
 
-    def parts(self, names: DataFrame) -> DataFrame:
-        """(term, key, part): what each posting of the terms ``names`` (term, unique) adds to a score. Terms meet
-        blocks, not postings, so that a frequent term is no row of one task."""
-        idf, part = self.formulas()
+    def weighted(self, names: DataFrame, sent=lambda df: df) -> DataFrame:
+        """The blocks of the terms ``names`` (term, unique) with ``idf``. Terms meet blocks, not postings, so that a
+        frequent term is no row of one task."""
+        idf, _ = self.formulas()
         wanted = names.select("term", bucket_of(F.col("term"), self.buckets).alias("bucket"))
         table = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/postings")
-        frequencies = table.join(wanted, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("idf"))
-        found = table.join(frequencies, ["bucket", "term"]).select(*OPENED, "idf")
-        return found.mapInArrow(opened, POSTINGS + ", idf double").select("term", "key", part.alias("part"))
+        frequencies = table.join(sent(wanted), ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("idf"))
+        return table.join(sent(frequencies), ["bucket", "term"]).select(*OPENED, "idf")
+
+    def parts(self, names: DataFrame) -> DataFrame:
+        """(term, key, part): what each posting of the terms ``names`` (term, unique) adds to a score."""
+        _, part = self.formulas()
+        return self.weighted(names).mapInArrow(opened, POSTINGS + ", idf double").select("term", "key", part.alias("part"))
 
     def scored_each(self, queries: DataFrame, text: str = "text", query_key: str = "query_id") -> DataFrame:
         """(query_id, key, score, hits) for a table of queries of any size. Their distinct terms meet the blocks by
-        (bucket, term), so that a block is opened once, whatever the number of queries."""
-        asked = queries.select(F.col(f"`{query_key}`").alias("query_id"), F.explode(F.array_distinct(terms(F.col(f"`{text}`")))).alias("term"))
+        (bucket, term), so that a block is opened once, whatever the number of queries. A row is made for each query
+        and each document with one of its terms: :meth:`best_each` is for the best of them."""
+        asked = asked_terms(queries, text, query_key)
         wanted = asked.select("term", bucket_of(F.col("term"), self.buckets).alias("bucket")).distinct()
         found = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/postings").join(wanted, ["bucket", "term"], "left_semi")
         frequencies = found.groupBy("term").agg(F.sum("n").cast("long").alias("df"))
         return self.weighed(found.select(*OPENED).mapInArrow(opened, POSTINGS), asked, frequencies)
 
+    def best_each(self, queries: DataFrame, k: int, text: str = "text", query_key: str = "query_id", digits: int = 9) -> DataFrame:
+        """(query_id, key, score, hits, rank from 1): the ``k`` documents of greatest score for each of a table of queries
+        of any size; scores are rounded to ``digits``, equal ones ordered by key.
+
+        Documents are dealt to shards by their keys. The postings of a shard, packed, meet the lists of terms in one task,
+        which keeps ``k`` documents of each; so no row is made for a query and a document that has one of its terms, nor
+        for a posting. Queries of the same terms are answered once. No limit drops a document that would be among the best."""
+        n, total = self.totals()
+        mean = total / n if n else 1.0
+        shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_DOCS), -(-total // SHARD_TERMS))
+        words = F.array_join(F.array_sort(F.collect_list("term")), " ")
+        asked = written(asked_terms(queries, text, query_key).groupBy("query_id").agg(words.alias("words")), "asked")
+        lists = asked.select("words").distinct()
+        wanted = lists.select(F.explode(F.split("words", " ")).alias("term")).distinct()
+        strips = max(1, -(-lists.count() // SHARD_LISTS))
+        every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+        found = self.weighted(wanted, F.broadcast if wanted.count() <= SENT else lambda df: df)
+        left = found.mapInArrow(lambda batches: dealt(batches, shards), DEALT).withColumn("strip", every(strips))
+        right = lists.select("words", F.pmod(F.xxhash64("words"), F.lit(strips)).cast("int").alias("strip"), every(shards).alias("shard"))
+        task = lambda x, y: best_of_shard(x, y, mean or 1.0, k, digits)
+        partial = left.groupBy("shard", "strip").cogroup(right.groupBy("shard", "strip")).applyInArrow(task, BEST)
+        best = F.row_number().over(W.partitionBy("words").orderBy(F.desc("score"), "key"))  # k rows of each shard at most
+        return asked.join(partial.withColumn("rank", best).where(F.col("rank") <= k), "words").select("query_id", "key", "score", "hits", "rank")
+
+
+def asked_terms(queries: DataFrame, text: str, query_key: str) -> DataFrame:
+    """(query_id, term), each once, also where rows share their ``query_key``."""
+    return queries.select(F.col(f"`{query_key}`").alias("query_id"), F.explode(terms(F.col(f"`{text}`"))).alias("term")).distinct()
+
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, buckets: int = 64) -> Index:
     """Index ``docs`` in a folder (a new one in the shared folder by default)."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkact.functions import blobs, phrases
@@ -60,10 +59,8 @@ def index_bm25(spark: SparkSession, d: str) -> DataFrame:
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {EACH}""")
 def index_bm25_each(spark: SparkSession, d: str) -> DataFrame:
     """The documents that say most of what each benchmark item says."""
-    found = indexed(spark, d).scored_each(read(spark, d, "benchmark"), query_key="item_id")
-    found = found.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "hits")
-    best = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return longs(found.withColumn("rank", best).where(F.col("rank") <= EACH), "rank")
+    best = indexed(spark, d).best_each(read(spark, d, "benchmark"), EACH, query_key="item_id", digits=6)
+    return longs(best.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), "score", "hits", "rank"), "rank")
 
 
 # Documents that have a vector are chunks, their sources conversations; every twentieth asks with its vector and first

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkact.operators import inverted
+from sparkact.search_queries import index_bm25_each
 
 
 def looped(text):
@@ -91,6 +92,63 @@ def test_many_queries(spark, index):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k][1], rel_tol=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("shards, lists", [(1, 1000), (7, 2)])
+def test_best_of_many_queries(spark, index, monkeypatch, shards, lists):
+    """The first of all scores, equal ones by key, whatever the shards; rows of one query_id ask together, each term once."""
+    monkeypatch.setattr(inverted, "SHARD_LISTS", lists)
+    monkeypatch.setattr(inverted, "SHARD_DOCS", 4000 // shards)
+    monkeypatch.setattr(inverted, "OPEN", 500)
+    asked = [(1, "the Alpha beta"), (2, "知识库迁移"), (3, ""), (4, None), (5, "rare rare"), (6, "beta ALPHA the"), (7, "unseen k9"), (8, "the"), (8, "the unseen gamma1"), (None, "迁移")]
+    frame = spark.createDataFrame(asked, "query_id long, text string")
+    with_partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shards)
+    try:
+        found = index.best_each(frame, 20, digits=6).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", with_partitions)
+    keyed = {}
+    for i, w in corpus():
+        if i is not None:
+            keyed.setdefault(i, set()).update(looped(w))
+    for i in {i for i, _ in asked}:
+        text = " ".join(t or "" for j, t in asked if i == j)
+        want = sorted(((-round(score, 6), key) for key, (_, score) in scan(text).items()))[:20]
+        got = sorted((r.rank, r.key, r.score, r.hits) for r in found if r.query_id == i)
+        assert [(r, k, s) for r, k, s, _ in got] == [(r + 1, k, -s) for r, (s, k) in enumerate(want)]
+        assert all(h == len(keyed[k] & set(looped(text))) for _, k, _, h in got)
+
+
+def test_repeated_keys_add_up(spark):
+    """Documents of one key are one answer, as in the list of all scores."""
+    rows = [(k, " ".join(["a"] * (k % 3 + 1) + ["b"] * (k % 2) + ["c"])) for k in [5, -3, 8, 0, 2, 2, 7, 2**62, -(2**62)] * 9]
+    index = inverted.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    frame = spark.createDataFrame([(1, "a b"), (2, "c b x")], "query_id long, text string")
+    every = sorted(((r.query_id, -round(r.score, 6), r.key, r.hits) for r in index.scored_each(frame).collect()))
+    best = sorted(((r.query_id, -r.score, r.key, r.hits) for r in index.best_each(frame, 100, digits=6).collect()))
+    assert best == every and any(h > 2 for *_, h in best)
+    assert index.best_each(frame.where("false"), 3).count() == 0
+    empty = inverted.build(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.best_each(frame, 3).count() == 0
+
+
+def test_no_row_for_a_query_and_a_document(spark, tmp_path):
+    """What the query shuffles follows the documents and not their pairs with the items, of which each has a term of each."""
+    docs, items, context = 3000, 80, spark.sparkContext._jsc.sc()
+    spark.range(docs).select(F.col("id").alias("doc_id"), F.lit("some common words here").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(items).select(F.col("id").alias("item_id"), F.concat(F.lit("common words x"), "id").alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def shuffled():
+        """Records that each stage so far has written to shuffles."""
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = shuffled()
+    got = sorted((r.item_id, r.rank, r.doc_id, r.hits) for r in index_bm25_each(spark, str(tmp_path)).collect())
+    assert got == [(i, k + 1, k, 2) for i in range(items) for k in range(5)]
+    assert 0 < sum(n for i, n in shuffled().items() if i not in before) < docs * items / 10
+
+
 def test_reads_only_the_terms_folders(spark, index):
     """Three terms open the folders of three buckets at most, and the filter on the term reaches the scan."""
     names = ["alpha", "beta", "rare"]

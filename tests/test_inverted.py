@@ -98,6 +98,7 @@ def test_best_of_many_queries(spark, index, monkeypatch, shards, lists):
     monkeypatch.setattr(inverted, "SHARD_LISTS", lists)
     monkeypatch.setattr(inverted, "SHARD_DOCS", 4000 // shards)
     monkeypatch.setattr(inverted, "OPEN", 500)
+    monkeypatch.setattr(inverted, "SENT", 0 if shards > 1 else 100)
     asked = [(1, "the Alpha beta"), (2, "知识库迁移"), (3, ""), (4, None), (5, "rare rare"), (6, "beta ALPHA the"), (7, "unseen k9"), (8, "the"), (8, "the unseen gamma1"), (None, "迁移")]
     frame = spark.createDataFrame(asked, "query_id long, text string")
     with_partitions = spark.conf.get("spark.sql.shuffle.partitions")
